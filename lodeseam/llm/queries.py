@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseam.llm import licenses, mixing, pii, sharding
+from lodeseam.llm import licenses, mixing, ngram_join, pii, sharding
 from lodeseam.llm.base import table
 
 
@@ -17,6 +17,10 @@ def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan_licenses(licenses.phrase_places(docs)))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_license_scans, op5_mixing, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op7_sharding)}
 ORACLE_SQL: dict[str, str] = {}
