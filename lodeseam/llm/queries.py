@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseam.llm import licenses, mixing, ngram_join, pii, sharding
+from lodeseam.llm import fingerprints, licenses, mixing, ngram_join, pii, sharding
 from lodeseam.llm.base import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -29,5 +33,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op7_sharding)}
 ORACLE_SQL: dict[str, str] = {}
