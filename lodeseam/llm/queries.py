@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseam.llm import fingerprints, licenses, media, mixing, ngram_join, pii, sharding
+from lodeseam.llm import fingerprints, licenses, media, mixing, ngram_join, pii, sentencepiece_bpe, sharding
 from lodeseam.llm.base import table
 
 
@@ -33,9 +33,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op7_sharding, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op7_sharding, op8_sentencepiece, op9_media_columns)}
 ORACLE_SQL: dict[str, str] = {}
