@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseam.llm import fingerprints, licenses, media, mixing, ngram_join, pii, sentencepiece_bpe, sharding
+from lodeseam.llm import chat, fingerprints, licenses, media, mixing, ngram_join, pii, quality, sentencepiece_bpe, sharding
 from lodeseam.llm.base import table
 
 
@@ -29,6 +29,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "expected_grade", "tail", "keep")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -41,5 +47,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op7_sharding, op8_sentencepiece, op9_media_columns)}
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_calls(*chat.turns_as_calls(table(spark, sf_dir, "conversations")))
+
+
+ALL = (
+    op1_fingerprints, op2_pii, op3_license_scans, op4_ngram_jaccard_join, op5_mixing, op6_quality_classifier, op7_sharding, op8_sentencepiece, op9_media_columns,
+    op10_chat_formatting,
+)
+QUERIES = {f.__name__: f for f in ALL}
 ORACLE_SQL: dict[str, str] = {}
