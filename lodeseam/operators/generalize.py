@@ -18,7 +18,7 @@ def with_generalizations(lattice: Lattice, depth: int) -> DataFrame:
     stats = lattice.all_statistics(depth).persist()
     try:
         if isinstance(m, GeneralizationAware):
-            return _aware(p, m, stats, depth)
+            return _aware(p, m, stats, lattice, depth)
         if isinstance(m, GaStandard):
             return _difference(p, m, stats, depth) if m.strategy == "difference" else _carried(p, m, stats, depth)
         if isinstance(m, GaStandardNumeric):
@@ -51,11 +51,12 @@ def _top(stats: DataFrame, **values: Column) -> DataFrame:
     return empty.select("items", *[v.alias(k) for k, v in values.items()])
 
 
-def _aware(p: Prepared, m: GeneralizationAware, stats: DataFrame, depth: int) -> DataFrame:
+def _aware(p: Prepared, m: GeneralizationAware, stats: DataFrame, lattice: Lattice, depth: int) -> DataFrame:
     scored = stats.withColumn("own", m.inner.quality(p.constants))
     highest = F.coalesce(F.max(F.greatest("own", "best")), F.lit(0.0)).alias("best")
     finish = lambda df: df.withColumn("best", F.greatest("best", F.lit(0.0))).withColumn("quality", F.col("own") - F.col("best"))
-    return _levels(scored, depth, _top(stats, own=F.lit(None).cast("double"), best=F.lit(0.0)), ["own", "best"], [highest], finish)
+    top = lattice.whole().select("items", m.inner.quality(p.constants).alias("own"), F.lit(0.0).alias("best"))
+    return _levels(scored, depth, top, ["own", "best"], [highest], finish)
 
 
 def _difference(p: Prepared, m: GaStandard, stats: DataFrame, depth: int) -> DataFrame:
