@@ -5,10 +5,18 @@ pattern (unless a measure needs all values of a cover), so the lattice is search
 its cost follows their number, not the table's. A level's statistics are one aggregation over patterns
 unfolded into the level's subsets; map-side partial aggregation keeps the shuffle at one row per subset and
 task. Nothing but survivors' bounds ever comes to the driver.
+
+Over many selectors nearly every row is a pattern of its own, and unfolding it into pairs is the cost. There,
+pairs and beam extensions are matrix products of the 0/1 row-by-selector matrix, taken Arrow batch by Arrow
+batch and summed by Spark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +33,10 @@ def item_array(p: Prepared) -> Column:
     return F.concat(*chunks) if len(chunks) > 1 else chunks[0]
 
 
+#: From this many selectors on, pairs and extensions are matrix products; up to the second, so their matrix fits.
+WIDE, WIDEST = 128, 2_048
+
+
 class Lattice:
     """The patterns of a prepared task and the statistics of its subsets."""
 
@@ -33,8 +45,15 @@ class Lattice:
         self.measures = row_measures(p.task.target, p.constants, p.plan)
         self.by_value = bool(p.plan.values)
         rows = p.task.df.select(item_array(p).alias("items"), *p.task.target.columns(p.task.df.schema))
-        if self.by_value:
-            self.rows = rows.select("items", "_t", *[c.alias(n) for n, (c, _) in self.measures.items()])
+        sums_only = all(how == "sum" for _, how in self.measures.values())
+        self.wide = WIDE <= len(p.selectors) <= WIDEST and not self.by_value and p.task.target.kind != "line"
+        self.pairs_as_product = self.wide and sums_only
+        if self.by_value or self.wide:
+            rows = rows.select("items", *[c.alias(n) for n, (c, _) in self.measures.items()], *(["_t"] if self.by_value else []))
+        if self.wide:
+            self.rows = rows
+        elif self.by_value:
+            self.rows = rows
         else:
             aggregated = [(F.max(c) if how == "max" else F.sum(c)).alias(n) for n, (c, how) in self.measures.items()]
             self.rows = rows.groupBy("items").agg(*aggregated)
@@ -66,8 +85,62 @@ class Lattice:
             union = union.union(level)
         return self.statistics(union)
 
+    def products(self, parents: list[tuple[int, ...]] | None) -> DataFrame:
+        """Statistics of every pair and single (no parents), or of every parent with one selector added.
+
+        Sums only; a maximum is null here. Counts are exact; sums of numbers are taken in doubles inside a
+        batch and exactly between batches.
+        """
+        size = len(self.p.selectors)
+        sums = [n for n, (_, how) in self.measures.items() if how == "sum"]
+        given = None if parents is None else [list(t) for t in parents]
+        whole = {n: n in ("n", "p", "tail_n") for n in sums}
+        rows = self.rows.select("items", *[F.col(n).cast("double").alias(n) for n in sums])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                lists, n = batch.column(0), batch.num_rows
+                x = np.zeros((n, size), np.float32)
+                x[np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+                left = x if given is None else np.stack([x[:, t].all(axis=1) if t else np.ones(n, bool) for t in given], axis=1).astype(np.float32)
+                parts = []
+                for k, name in enumerate(sums, 1):
+                    w = batch.column(k).to_numpy(zero_copy_only=False)
+                    if whole[name]:
+                        parts.append((left.T @ (x * w[:, None].astype(np.float32))).astype(np.float64))
+                    else:
+                        parts.append((left * w[:, None]).T @ x.astype(np.float64))
+                total = parts if total is None else [a + b for a, b in zip(total, parts, strict=True)]
+            if total is None:
+                return
+            a, b = np.nonzero(total[0])
+            if given is None:
+                a, b = a[a <= b], b[a <= b]
+                items = [[i] if i == j else [i, j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            else:
+                fresh = np.array([j not in given[i] for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                a, b = a[fresh], b[fresh]
+                items = [sorted([*given[i], j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.int32())), *(pa.array(t[a, b]) for t in total)], ["items", *sums])
+
+        made = rows.mapInArrow(run, "items array<int>, " + ", ".join(f"{n} double" for n in sums))
+        if given is not None:  # a child of several parents came once from each
+            spread = {tuple(sorted([*t, j])) for t in given for j in range(size) if j not in t}
+            times = {c: sum(1 for t in given if set(t) < set(c)) for c in spread}
+            if any(v > 1 for v in times.values()):
+                many = F.create_map(*[x for c, v in times.items() if v > 1 for x in (F.lit("-".join(map(str, c))), F.lit(v))])
+                made = made.withColumn("_times", F.coalesce(F.element_at(many, F.concat_ws("-", F.transform("items", lambda i: i.cast("string")))), F.lit(1)))
+                made = made.select("items", *[(F.col(n) / F.col("_times")).alias(n) for n in sums])
+        exact = self.rows.schema
+        out = made.groupBy("items").agg(*[F.sum(F.round(n).cast("long") if whole[n] and given is None else F.col(n).cast("decimal(38,15)")).alias(n) for n in sums])
+        out = out.select("items", *[F.round(n).cast("long").alias(n) if whole[n] else F.col(n) for n in sums])
+        return out.select("items", *[F.col(n) if n in sums else F.lit(None).cast(exact[n].dataType).alias(n) for n in self.measures])
+
     def extensions(self, parents: list[tuple[int, ...]]) -> DataFrame:
         """Statistics of every parent with one selector added, anywhere; each row counts once per child."""
+        if self.wide:
+            return self.products(parents)
         known = F.array(*[F.array(*[F.lit(i) for i in t]).cast("array<int>") for t in parents])
         held = F.filter(known, lambda t: F.size(F.array_except(t, "items")) == 0)
         children = F.flatten(F.transform(held, lambda t: F.transform(F.array_except("items", t), lambda e: F.array_sort(F.concat(t, F.array(e))))))

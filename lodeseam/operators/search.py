@@ -161,6 +161,10 @@ def apriori(task: Task, pruning: bool = True) -> Results:
     if task.measure.whole:
         return exhaustive(task)
     run = _Run(task, pruning=pruning)
+    if run.lattice.pairs_as_product and task.depth <= 2:
+        run.admit(run.scored(run.lattice.products(None).where(F.size("items") <= task.depth)))
+        run.fill_empty()
+        return run.finish("pairs as a matrix product")
     level = run.lattice.deeper(run.lattice.unfolded())
     for d in range(1, task.depth + 1):
         scored = run.scored(run.lattice.statistics(level)).persist()

@@ -55,5 +55,5 @@ def ranked(ctes: str, quality: str, k: int, above: str = "'-infinity'::DOUBLE",
     scored = f"SELECT *, {quality} AS quality FROM {source}"
     return (
         f"{ctes}, scored AS ({scored}), best AS (SELECT * FROM scored WHERE quality IS NOT NULL AND NOT isnan(quality) AND quality > {above} AND {having} ORDER BY quality DESC, depth, a, b NULLS FIRST, c NULLS FIRST LIMIT {k}) "
-        "SELECT CAST(row_number() OVER (ORDER BY quality DESC, depth, a, b NULLS FIRST, c NULLS FIRST) AS INTEGER) AS rank, key, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS size, round(quality, {places}) AS quality FROM best"
+        f"SELECT CAST(row_number() OVER (ORDER BY quality DESC, depth, a, b NULLS FIRST, c NULLS FIRST) AS INTEGER) AS rank, key, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS size, round(quality, {places}) AS quality FROM best"
     )

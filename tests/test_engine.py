@@ -224,3 +224,15 @@ def test_results(tables):
     assert sum(r.rows for r in R.histogram(df, "T", Conjunction([sel[0]]), 4).collect()) == 8
     binary_results = S.exhaustive(Task(tables["A"], binary("y", 1), [Equality("sex", "F")], M.wracc()))
     assert R.roc_points(binary_results) == [(0.4, 0.6)]
+
+
+def test_wide_spaces_use_products_and_agree(stress, monkeypatch):
+    from lodeseam.operators import lattice
+
+    monkeypatch.setattr(lattice, "WIDE", 2)
+    df, rows, selectors = stress
+    sel = canonical(selectors)
+    same(S.apriori(Task(df, binary("y", 1), sel, M.wracc(), 10, 2)), sel, expected(CELLS[0], rows, sel))
+    same(S.beam_search(Task(df, binary("y", 1), sel, M.wracc(), 10, 2), 500), sel, expected(CELLS[0], rows, sel))
+    same(S.beam_search(Task(df, Numeric("t"), sel, M.StandardNumeric(1.0), 10, 2, 0.0), 500), sel, expected(CELLS[3], rows, sel))
+    same(S.apriori(Task(df, binary("y", 1), sel, M.Standard(0.5), 10, 2, 0.0, (min_support(12),))), sel, expected(CELLS[1], rows, sel))
