@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseam.llm import chat, fingerprints, licenses, media, mixing, ngram_join, pii, quality, sentencepiece_bpe, sharding
+from lodeseam.llm import chat, fingerprints, licenses, media, mixing, ngram_join, oracles, pii, quality, sentencepiece_bpe, sharding
 from lodeseam.llm.base import table
 
 
@@ -56,4 +56,4 @@ ALL = (
     op10_chat_formatting,
 )
 QUERIES = {f.__name__: f for f in ALL}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_ngram_jaccard_join": oracles.OP4, "op10_chat_formatting": oracles.OP10}
