@@ -56,4 +56,4 @@ ALL = (
     op10_chat_formatting,
 )
 QUERIES = {f.__name__: f for f in ALL}
-ORACLE_SQL = {"op4_ngram_jaccard_join": oracles.OP4, "op10_chat_formatting": oracles.OP10}
+ORACLE_SQL = {"op2_pii": oracles.pii_sql(), "op3_license_scans": oracles.license_sql(), "op4_ngram_jaccard_join": oracles.OP4, "op10_chat_formatting": oracles.OP10}
