@@ -21,18 +21,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.functions.scalars import normal_density
+from lodeseam.functions.selectors import Equality, Selector, kind_of, value_kind
 from lodeseam.operators.stats import intercept, merged, row_measures, slope, value_measures
 from lodeseam.plans.task import Prepared
 
 
 def item_array(p: Prepared) -> Column:
-    """Ascending numbers of the selectors a row satisfies."""
+    """Ascending numbers of the selectors a row satisfies.
+
+    The equalities of one attribute are neighbours and exclude each other, so several of them are one lookup.
+    """
     schema = p.task.df.schema
-    flags = [F.when(s.column(schema), F.lit(i)) for i, s in enumerate(p.selectors)]
+    flags, i = [], 0
+    while i < len(p.selectors):
+        same = [i]
+        while isinstance(p.selectors[i], Equality) and same[-1] + 1 < len(p.selectors) and _alike(p.selectors[i], p.selectors[same[-1] + 1]):
+            same.append(same[-1] + 1)
+        if len(same) > 2 and kind_of(schema, p.selectors[i].attribute) == value_kind(p.selectors[i].value):
+            key = F.lit(p.selectors[i].value) if value_kind(p.selectors[i].value) != "numeric" else None
+            value = lambda j: F.lit(p.selectors[j].value) if key is not None else F.lit(float(p.selectors[j].value))
+            given = F.col(f"`{p.selectors[i].attribute}`") if key is not None else F.col(f"`{p.selectors[i].attribute}`").cast("double")
+            table = F.create_map(*[x for j in same for x in (value(j), F.lit(j))])
+            flags.append(F.when(given.isNotNull(), F.element_at(table, given)))
+        else:
+            flags += [F.when(p.selectors[j].column(schema), F.lit(j)) for j in same]
+        i = same[-1] + 1
     chunks = [F.array_compact(F.array(*flags[i : i + 64])) for i in range(0, len(flags), 64)]
     return F.concat(*chunks) if len(chunks) > 1 else chunks[0]
 
 
+def _alike(a: Selector, b: Selector) -> bool:
+    return isinstance(b, Equality) and a.attribute == b.attribute and value_kind(a.value) == value_kind(b.value)
+
+
 #: From this many selectors on, pairs and extensions are matrix products; up to the second, so their matrix fits.
 WIDE, WIDEST = 128, 2_048
 

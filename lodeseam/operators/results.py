@@ -14,7 +14,7 @@ from lodeseam.errors import ValidationError
 from lodeseam.functions.dialect import print_conjunction, print_selector
 from lodeseam.functions.scalars import normal_density
 from lodeseam.functions.selectors import Conjunction, Disjunction, Equality, Interval, IsNull, Negated, Selector, equality, kind_of
-from lodeseam.operators.stats import binary_table, intercept, numeric_aggregates, slope
+from lodeseam.operators.stats import intercept, numeric_aggregates, slope
 from lodeseam.plans.task import Prepared
 from lodeseam.sources.table import RID, csv_text
 
@@ -64,26 +64,42 @@ class Results:
 
 
 def build(p: Prepared, top: list, evaluated: int, pruned: int, note: str) -> Results:
-    """Statistics tables of at most k winners, all in one aggregation over the table (two for a line)."""
+    """Statistics tables of at most k winners.
+
+    A condition's and an itemset's follow from the counts at hand; a number's takes one aggregation over the
+    table for all winners, a line's two.
+    """
     descriptions = [p.description(s.items) for s in top]
-    tables = full_tables(p, descriptions) if descriptions else []
+    if p.task.target.kind in ("binary", "itemsets"):
+        tables = [counted_table(p, s.n, s.p) for s in top]
+    else:
+        tables = full_tables(p, descriptions) if descriptions else []
     entries = tuple(Entry(s.quality, d, t, s.estimate) for s, d, t in zip(top, descriptions, tables, strict=True))
     return Results(entries, evaluated, pruned, note, p.task.df)
 
 
+def counted_table(p: Prepared, n: int, positives: int | None) -> dict:
+    """binary_table() of known counts, or the sizes of an itemset."""
+    N, P = p.constants.n, p.constants.positives
+    if p.task.target.kind == "itemsets":
+        return {"size_sg": n, "size_dataset": N}
+    of = lambda a, b: a / b if b else None
+    own, base = of(positives, n), of(P, N)
+    return {
+        "size_sg": n, "size_dataset": N, "positives_sg": positives, "positives_dataset": P, "size_complement": N - n, "relative_size_sg": of(n, N), "relative_size_complement": of(N - n, N),
+        "coverage_sg": of(positives, P), "coverage_complement": of(P - positives, P), "target_share_sg": own, "target_share_complement": of(P - positives, N - n), "target_share_dataset": base,
+        "lift": None if own is None or not base else own / base,
+    }
+
+
 def full_tables(p: Prepared, descriptions: list) -> list[dict]:
     schema, target = p.task.df.schema, p.task.target
     rows = p.task.df.select(*[d.column(schema).alias(f"_d{i}") for i, d in enumerate(descriptions)], *target.columns(schema))
     inside = [F.col(f"_d{i}") for i in range(len(descriptions))]
-    if target.kind == "binary":
-        got = rows.agg(F.count(F.lit(1)).alias("N"), F.sum("_y").alias("P"), *[F.struct(F.count_if(d).alias("n"), F.sum(F.when(d, F.col("_y")).otherwise(0)).alias("p")).alias(f"r{i}") for i, d in enumerate(inside)])
-        got = got.select(*[F.struct(*[c.alias(k) for k, c in binary_table(F.col(f"r{i}.n"), F.col("N"), F.col(f"r{i}.p"), F.col("P")).items()]).alias(f"r{i}") for i in range(len(inside))])
-    elif target.kind == "numeric":
+    if target.kind == "numeric":
         got = rows.agg(*[F.struct(*[c.alias(k) for k, c in numeric_aggregates(d, F.col("_t")).items()]).alias(f"r{i}") for i, d in enumerate(inside)])
-    elif target.kind == "line":
-        got = _lines(rows, inside)
     else:
-        got = rows.agg(*[F.struct(F.count_if(d).alias("size_sg"), F.count(F.lit(1)).alias("size_dataset")).alias(f"r{i}") for i, d in enumerate(inside)])
+        got = _lines(rows, inside)
     first = got.first()
     return [first[f"r{i}"].asDict() for i in range(len(inside))]
 

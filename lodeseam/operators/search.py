@@ -28,6 +28,8 @@ class Scored:
     quality: float
     items: tuple[int, ...]
     estimate: float | None
+    n: int | None = None
+    p: int | None = None
 
     @property
     def rank(self) -> tuple:
@@ -84,8 +86,9 @@ class _Run:
     def best(self, scored: DataFrame, k: int | None = None) -> list[Scored]:
         """The first k of a scored level above the asked quality, ranked by Spark."""
         ranked = scored.where(F.col("quality").isNotNull() & (F.col("quality") > self.top.above) & F.col("member"))
-        rows = ranked.select("quality", "items", "estimate").orderBy(F.desc("quality"), F.size("items"), "items").limit(k or self.p.task.k).collect()
-        return [Scored(r[0], tuple(r[1]), r[2]) for r in rows]
+        p = F.col("p") if "p" in scored.columns else F.lit(None).cast("long")
+        rows = ranked.select("quality", "items", "estimate", "n", p.alias("p")).orderBy(F.desc("quality"), F.size("items"), "items").limit(k or self.p.task.k).collect()
+        return [Scored(r[0], tuple(r[1]), *r[2:]) for r in rows]
 
     def admit(self, scored: DataFrame) -> None:
         self.step()
@@ -128,7 +131,7 @@ class _Run:
             if self.top.full:
                 return
             if items not in known and items not in full:
-                self.top.offer([Scored(float(worth), items, float(worth))])
+                self.top.offer([Scored(float(worth), items, float(worth), 0, 0)])
 
     def finish(self, note: str) -> Results:
         try:
