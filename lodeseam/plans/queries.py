@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseam.functions import measures as M
-from lodeseam.functions import scalars
+from lodeseam.functions import dialect, scalars
 from lodeseam.functions.selectors import DNF, Conjunction, Disjunction, Equality, Interval, IsNull, Negated, canonical
 from lodeseam.operators import results as R
 from lodeseam.operators import search as S
@@ -341,6 +341,37 @@ def results_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.histogram(read(spark, sf_dir, "lineitem"), "l_extendedprice", CELL, 12)
 
 
+FORMS = [Equality("x", 5, True), Equality("s", "it"), Equality("b", True), IsNull("s"), Interval("x", 0.125, 2.0), Interval("x", hi=3, whole=True), Interval("x", lo=1e16), Interval("x"), Negated(Equality("s", "a"))]
+PRINTED = [
+    ("x==5", "x==5"), ("s=='it'", "s=='it'"), ("b==True", "b==True"), ("s.isnull()", "s.isnull()"), ("x: [0.125:2.0[", "x: [0.12:2.0["), ("x<3", "x<3"), ("x>=1e+16", "x>=1e+16"), ("x = anything", "x = anything"), ("(not s=='a')", "NOT s=='a'"),
+]
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+
+
+@query("text_forms", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, true)" for i, (a, b) in enumerate(PRINTED)) + ") AS t(place, query, display, same)")
+def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(i, dialect.print_selector(s), dialect.print_selector(s, "display"), dialect.parse_selector(dialect.print_selector(s)) == s) for i, s in enumerate(FORMS)]
+    return spark.createDataFrame(rows, "place int, query string, display string, same boolean")
+
+
+@query("results_text", "SELECT 'quality,subgroup,size_sg,size_dataset,positives_sg,positives_dataset,size_complement,relative_size_sg,relative_size_complement,coverage_sg,coverage_complement,target_share_sg,target_share_complement,target_share_dataset,lift' AS header, 8::BIGINT AS rows")
+def results_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _flags(spark, sf_dir).to_csv().splitlines()
+    return spark.createDataFrame([(lines[0], len(lines) - 1)], "header string, rows long")
+
+
+@query("space_of_cubes", "SELECT coalesce(o_orderstatus, '*') AS status, coalesce(o_orderpriority, '*') AS priority, count(*) AS n, sum((o_totalprice >= 100000)::BIGINT)::BIGINT AS p FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority))")
+def space_of_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equalities of two attributes: the lattice's counts are those of grouping sets."""
+    df = read(spark, sf_dir, "orders")
+    sel = canonical(space.nominal_selectors(df.select("o_orderstatus", "o_orderpriority")))
+    every = M.combined((M.wracc(), 1.0))
+    found = S.exhaustive(Task(df, Binary(Interval("o_totalprice", lo=100000.0)), sel, every, 1000, 2))
+    value = lambda e, a: next((s.value for s in e.description.selectors if s.attribute == a), "*")
+    rows = [(value(e, "o_orderstatus"), value(e, "o_orderpriority"), int(e.stats["size_sg"]), int(e.stats["positives_sg"])) for e in found.entries]
+    return spark.createDataFrame(rows, "status string, priority string, n long, p long")
+
+
 @query("scalar_density", "SELECT l_orderkey, l_linenumber, round(exp(-0.5 * l_discount * l_discount) / 2.5066282746310002, 12) AS density FROM lineitem WHERE l_orderkey < 1000")
 def scalar_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
