@@ -4,10 +4,11 @@
 2. Shingles get a global order, rare ones first, from a table of counts of fixed size.
 3. A node's incidence row is cut to its first n - ceil(t n) + 1 shingles in that order: two nodes that meet
    the threshold share one of them. Blocks of the product are ranges of shingles by hash.
-4. Linking every node of a block's column to the column's least node, and joining what these products
-   confirm, makes components without multiplying a group of near copies with itself.
-5. Columns that still hold several components are multiplied out between components only; overlap counts
-   are accumulated per pair, and pairs whose count cannot reach the size-derived bound are discarded.
+4. Linking every node of a column to the column's most central node (the one with most shared columns), and
+   joining what exact counts confirm, makes components without multiplying a group of near copies with itself.
+5. Columns that still hold several components are multiplied block by block, a block being the columns of one
+   central node, cut further by rows when they are many: overlap counts are accumulated per pair of rows, and
+   pairs whose count, with all that other blocks can add, misses the size-derived bound are discarded.
 6. What is left is counted exactly over whole shingle sets.
 """
 
@@ -17,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseam.llm.base import checkpointed, whole_text
+from lodeseam.llm.base import checkpointed, whole_text, written
 from lodeseam.llm.graph import components
 from lodeseam.llm.tokens import mixed, shingle_sets, slices
 
@@ -28,6 +31,10 @@ from lodeseam.llm.tokens import mixed, shingle_sets, slices
 PERCENT = 75
 BIN_BITS = 20
 TABLE_SLICES = 64
+#: Identifiers of texts to fetch are broadcast up to this many (16 bytes each), else joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+#: Rows of a block that one task multiplies with as many others.
+BLOCK_ROWS = 4_096
 
 
 def needed(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
@@ -39,10 +46,10 @@ def prefix_length(n: int) -> int:
     return n - -((-PERCENT * n) // 100) + 1 if n else 0
 
 
-def _signature(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        one, two = s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        return int(one.astype(np.int64)), int(two.astype(np.int64))
+def node_of(s: np.ndarray) -> int:
+    """The number of a shingle set: a hash of its size and two sums over its members."""
+    one, two = s.sum(dtype=np.uint64), mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    return xxhash.xxh64_intdigest(b"%d %d %d" % (len(s), one, two)) - (1 << 63)
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -51,11 +58,9 @@ def nodes(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             sets = list(shingle_sets(part.column(1)))
-            sig = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[0] for s in sig], pa.int64()), pa.array([s[1] for s in sig], pa.int64())], ["doc_id", "n_shingles", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    signed = docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, s1 long, s2 long")
-    return signed.select("doc_id", "n_shingles", F.xxhash64("n_shingles", "s1", "s2").alias("node"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n_shingles long, node long")
 
 
 def shingle_order(docs: DataFrame) -> np.ndarray:
@@ -73,64 +78,70 @@ def shingle_order(docs: DataFrame) -> np.ndarray:
                 table += np.bincount((np.concatenate(sets) >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
         if table.any():
             salt = int(table.sum() % 16)
-            rows = [table[i * width : (i + 1) * width].tobytes() for i in range(TABLE_SLICES)]
+            rows = [zstandard.compress(table[i * width : (i + 1) * width].tobytes()) for i in range(TABLE_SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(TABLE_SLICES), pa.int32()), pa.array([salt] * TABLE_SLICES, pa.int32()), pa.array(rows, pa.binary())], ["slice", "salt", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[i] = sums.get(i, 0) + np.frombuffer(c.as_buffer(), np.int64)
+                sums[i] = sums.get(i, 0) + np.frombuffer(zstandard.decompress(c.as_buffer()), np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zstandard.compress(s.tobytes()) for s in sums.values()], pa.binary())], ["slice", "counts"])
 
     once = docs.mapInArrow(count, "slice int, salt int, counts binary").repartition(TABLE_SLICES, "slice", "salt").drop("salt").mapInArrow(add, "slice int, counts binary")
     table = np.zeros(1 << BIN_BITS, np.int64)
     for r in once.repartition(TABLE_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():  # TABLE_SLICES rows
-        table[r[0] * width : (r[0] + 1) * width] += np.frombuffer(r[1], np.int64)
+        table[r[0] * width : (r[0] + 1) * width] += np.frombuffer(zstandard.decompress(r[1]), np.int64)
     rank = np.empty(1 << BIN_BITS, np.uint32)
     rank[np.argsort(table, kind="stable")] = np.arange(1 << BIN_BITS, dtype=np.uint32)
     return rank
 
 
-def _prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(node, n, prefix) of every distinct set: its first shingles in the global order, as ordered numbers."""
+def _incidence(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """(shingle, node, n): the first shingles of every set in the global order, as numbers in that order.
+
+    A set that several rows of one task have is emitted once, so copies hardly add to the shuffle.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     low = np.uint64((1 << (64 - BIN_BITS)) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = shared.value.astype(np.uint64)
+        order, seen = shared.value.astype(np.uint64), set()
         for part in slices(batches, 1):
-            n, s1, s2, prefix = [], [], [], []
+            n, node, prefix = [], [], []
             for s in shingle_sets(part.column(1)):
-                sig = _signature(s)
+                one = node_of(s)
+                if not len(s) or one in seen:
+                    continue
+                seen.add(one)
                 key = np.sort((order[(s >> np.uint64(64 - BIN_BITS)).astype(np.int64)] << np.uint64(64 - BIN_BITS)) | (s & low))
                 n.append(len(s))
-                s1.append(sig[0])
-                s2.append(sig[1])
+                node.append(one)
                 prefix.append(key[: prefix_length(len(s))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["n", "node", "prefix"])
 
-    rows = docs.mapInArrow(run, "n int, s1 long, s2 long, prefix array<long>").where("n > 0")
-    return rows.select(F.xxhash64(F.col("n").cast("long"), "s1", "s2").alias("node"), "n", "prefix").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "n int, node long, prefix array<long>").select(F.explode("prefix").alias("shingle"), "node", "n")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The (u, v) of `pairs` whose whole sets meet the threshold; `texts` has node and text."""
+    """The (u, v) of `pairs` whose whole sets meet the threshold; `texts` has node and text.
+
+    A text that is not of its node (rows that share an identifier) confirms nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             for part in slices(iter([batch]), 3):
-                u, v = part.column(0).to_pylist(), part.column(1).to_pylist()
-                first = list(shingle_sets(part.column(3)))
-                keep = []
-                for i, (a, b) in enumerate(zip(u, v, strict=True)):
+                first, keep = list(shingle_sets(part.column(3))), []
+                for i, (a, b) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                    one = first[i]
                     if b not in known:
-                        known.clear()
-                        known[b] = next(shingle_sets(part.column(2).slice(i, 1)))
-                    both = len(np.intersect1d(first[i], known[b], assume_unique=True))
-                    keep.append(both >= needed(len(first[i]), len(known[b])))
+                        other = next(shingle_sets(part.column(2).slice(i, 1)))
+                        known = {b: other} if node_of(other) == b else {}
+                    other = known.get(b)
+                    keep.append(other is not None and len(np.intersect1d(one, other, assume_unique=True)) >= needed(len(one), len(other)) and node_of(one) == a)
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.select("u", "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("u_text")), "u")
@@ -138,17 +149,65 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "v_text", "u_text").mapInArrow(run, "u long, v long")
 
 
-def _may_reach(pairs: DataFrame) -> DataFrame:
-    """Of pairs (u, v, n_u, n_v, common) those whose overlap can still meet the size-derived bound.
+def _short(n_u: np.ndarray, n_v: np.ndarray) -> np.ndarray:
+    """How many shared prefix shingles a pair of sets of these sizes needs.
 
-    `common` counts the shared prefix shingles. All shared shingles up to the end of the prefix that ends
-    first are among them, so at most the rest of that set is to come.
+    All shared shingles up to the end of the prefix that ends first are among them, so of that set only the
+    rest after its prefix is to come.
     """
-    rest = lambda n: F.floor(F.lit(PERCENT) * n / 100 + F.when(F.lit(PERCENT) * n % 100 > 0, 1).otherwise(0)) - 1
+    largest = np.maximum(n_u, n_v)
+    return np.maximum(1, needed(n_u, n_v) - (-((-PERCENT * largest) // 100) - 1))
+
+
+def _may_reach(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v, n_u, n_v, common) those whose overlap can still meet the size-derived bound."""
+    rest = lambda n: F.ceil(F.lit(PERCENT) * n / 100) - 1
     bound = F.ceil(F.lit(PERCENT) * (F.col("n_u") + F.col("n_v")) / (100 + PERCENT))
     return pairs.where(F.col("common") + rest(F.greatest("n_u", "n_v")) >= bound)
 
 
+def _block_product(rows: DataFrame) -> DataFrame:
+    """Distinct (u, v) of different parts that may meet the threshold.
+
+    `rows` has shingle, node, n, part, shared (how many columns the node has in all blocks) and hub, which
+    names the block. A block of many rows is cut into pieces by node; every pair of pieces is a task, so no
+    task holds more than two pieces, and its counts are complete for its pairs of rows.
+    """
+    sizes = rows.groupBy("hub").agg(F.count_distinct("node").alias("members")).select("hub", F.ceil(F.col("members") / BLOCK_ROWS).cast("int").alias("cuts"))
+    cut = rows.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    dealt = cut.select("shingle", "node", "n", "part", "shared", "hub", "own", F.explode(met).alias("at")).select("shingle", "node", "n", "part", "shared", "own", "hub", "at.i", "at.j")
+
+    def multiply(block: pa.Table) -> pa.Table:
+        shingle, node, n, part, shared, own, _, i, j = (c.to_numpy() for c in block.columns)
+        names, first, row = np.unique(node, return_index=True, return_inverse=True)
+        n, part, own = n[first].astype(np.int64), part[first], own[first]
+        others = shared[first] - np.bincount(row)
+        by_column = np.argsort(shingle, kind="stable")
+        column = np.unique(shingle, return_inverse=True)[1]
+        starts, members = np.searchsorted(column[by_column], np.arange(column.max() + 2)), row[by_column]
+        by_row = np.argsort(row, kind="stable")
+        bounds = np.searchsorted(row[by_row], np.arange(len(names) + 1))
+        u, v = [], []
+        for a in range(len(names)):
+            hit = np.concatenate([members[starts[c] : starts[c + 1]] for c in column[by_row[bounds[a] : bounds[a + 1]]]])
+            hit = hit[hit > a]
+            if not len(hit):
+                continue
+            common = np.bincount(hit, minlength=len(names))
+            b = np.flatnonzero(common)
+            b = b[part[b] != part[a]]
+            if i[0] != j[0]:
+                b = b[own[b] != own[a]]
+            b = b[100 * np.minimum(n[b], n[a]) >= PERCENT * np.maximum(n[b], n[a])]
+            b = b[common[b] + np.minimum(others[b], others[a]) >= _short(n[b], n[a])]
+            u.append(np.full(len(b), names[a]))
+            v.append(names[b])
+        return pa.table({"u": np.concatenate(u) if u else np.zeros(0, np.int64), "v": np.concatenate(v) if v else np.zeros(0, np.int64)})
+
+    return dealt.groupBy("hub", "i", "j").applyInArrow(multiply, "u long, v long").distinct()
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, n_shingles and component_id (least identifier reachable by links) of every row of `df`.
 
@@ -158,29 +217,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty table gives no rows. Other columns are not read.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    rows = checkpointed(nodes(docs))
-    prefixes = _prefixes(docs, shingle_order(docs))
-    incidence = prefixes.select("node", "n", F.explode("prefix").alias("shingle"))
+    rows = written(nodes(docs))
     block = Window.partitionBy("shingle")
-    least = F.min(F.struct("node", "n")).over(block)
-    shared = incidence.select("shingle", "node", "n", least.alias("least"), F.count(F.lit(1)).over(block).alias("rows")).where("rows > 1")
-    shared = checkpointed(shared.select("shingle", "node", "n", F.col("least.node").alias("least"), F.col("least.n").alias("least_n")))
+    shared = _incidence(docs, shingle_order(docs)).select("shingle", "node", "n", F.min("node").over(block).alias("least"), F.max("node").over(block).alias("most"))
+    shared = written(shared.where("least < most").select("shingle", "node", "n").dropDuplicates(["shingle", "node"]))
+    shared = shared.join(shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")
+    hubs = shared.groupBy("shingle").agg(F.max(F.struct("shared", "node", "n")).alias("hub")).select("shingle", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    shared = written(shared.join(hubs, "shingle"))
     firsts = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct().join(firsts, "node")
-        return docs.join(ends, "doc_id").dropDuplicates(["node"]).select("node", "text")
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        ends = checkpointed(ends.join(firsts, "node"))
+        return docs.join(F.broadcast(ends) if ends.count() <= MOST_BROADCAST else ends, "doc_id").select("node", "text")
 
-    stars = shared.where("node <> least").groupBy(F.col("node").alias("u"), F.col("least").alias("v")).agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n_u"), F.first("least_n").alias("n_v"))
-    stars = checkpointed(_may_reach(stars))
+    stars = shared.where("node <> hub").groupBy(F.col("node").alias("u"), F.col("hub").alias("v")).agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n_u"), F.first("hub_n").alias("n_v"))
+    stars = checkpointed(_may_reach(stars).select("u", "v"))
     links = checkpointed(_confirmed(stars, texts_of(stars)))
-    joined = shared.select("shingle", "node", "n").join(components(links).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    spread = joined.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("shingle")
-    open_ = joined.join(spread, "shingle")
-    a, b = (open_.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "part")]) for s in "uv")
-    cross = a.join(b, "shingle").where("part_u < part_v").where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * PERCENT)
-    cross = cross.groupBy(F.col("node_u").alias("u"), F.col("node_v").alias("v")).agg(F.count(F.lit(1)).alias("common"), F.first("n_u").alias("n_u"), F.first("n_v").alias("n_v"))
-    cross = checkpointed(_may_reach(cross).select("u", "v"))
+    parts = components(links).withColumnRenamed("root", "part")
+    joined = shared.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    spread = joined.groupBy("hub").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("hub")
+    cross = _block_product(joined.join(spread, "hub")).join(stars, ["u", "v"], "left_anti")
+    cross = checkpointed(cross.join(stars.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti"))
     more = _confirmed(cross, texts_of(cross))
     return _labelled(rows, components(links.union(more)), id_col)
 

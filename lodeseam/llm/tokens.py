@@ -106,6 +106,6 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
         if b - a >= SHINGLE:
             yield np.unique(total[a : b - SHINGLE + 1])
         elif b > a:
-            yield mixed(np.atleast_1d((words[a:b] * IN_SHINGLE[: b - a]).sum(dtype=np.uint64) + SHORT[b - a]))
+            yield mixed(np.append(words[a:b] * IN_SHINGLE[: b - a], SHORT[b - a]).sum(dtype=np.uint64, keepdims=True))
         else:
             yield np.zeros(0, np.uint64)
