@@ -2,8 +2,8 @@
 
 Of each slice of texts the distinct words not yet known are concatenated and indexed by a suffix array cut
 at the longest piece. Every piece is binary-searched for its range of occurrences; these are the edges of
-the word lattices. Sorted by position, each word's edges are relaxed in the order the model's merges ask
-for: the best-scored edge that joins two current neighbours, the left one of equals, until none is left.
+the word lattices. Sorted by position, they are relaxed in the order the model's merges ask for: in each round every
+word applies its best-scored edge that joins two current neighbours, the left one of equals, until none is left.
 What no piece covers falls back to bytes. Words are white-space marks and what follows them, which no piece
 of a usable model crosses, so the words' encodings joined are the text's.
 """
@@ -11,7 +11,6 @@ of a usable model crosses, so the words' encodings joined are the text's.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +26,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MOST_KNOWN = 400_000
+RUN_CHARS = 1 << 18
 SLICE_BYTES = 4 << 20
 
 
@@ -68,6 +68,9 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces, self.known = pieces, {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.numbers = np.array(pieces.numbers, np.int32)
+        self.scores = np.array([-np.inf, *pieces.scores])
         alphabet = sorted({c for t in pieces.texts for c in t})
         if len(alphabet) > 0xFFFE:
             raise ValueError("too many different characters in the pieces")
@@ -99,61 +102,82 @@ class Encoder:
         order = np.argsort(at, kind="stable")
         return at[order], piece[order]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode the distinct words that are not yet known."""
+    def learn(self, words: set[str]) -> None:
+        """Encode the distinct words that are not yet known, in runs of a bounded number of characters."""
         if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        new = sorted(set(words) - self.known.keys())
-        if not new:
-            return
-        text = "\0".join(new)
+            self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.int32), 0
+        run, size = [], 0
+        for word in sorted(words - self.known.keys()):
+            run.append(word)
+            size += len(word) + 1
+            if size >= RUN_CHARS:
+                self._learn(run)
+                run, size = [], 0
+        if run:
+            self._learn(run)
+
+    def _learn(self, words: list[str]) -> None:
+        text = "\0".join(words)
         at, piece = self.edges(text)
-        starts = np.cumsum([0, *(len(w) + 1 for w in new)])
-        bounds = np.searchsorted(at, starts).tolist()
-        upto, at, piece, starts = (at + self.lengths[piece]).tolist(), at.tolist(), piece.tolist(), starts.tolist()
-        for k, word in enumerate(new):
-            base = starts[k]
-            lattice = {(at[e] - base, upto[e] - base): piece[e] for e in range(bounds[k], bounds[k + 1])}
-            self.known[word] = self.relax(word, lattice)
-
-    def relax(self, word: str, lattice: dict[tuple[int, int], int]) -> list[int]:
-        """The numbers of the pieces that merging along the lattice's edges leaves."""
-        scores, n = self.pieces.scores, len(word)
-        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(-scores[p], i, i + 1, j) for (i, j), p in lattice.items() if j - i == 2]
-        heapq.heapify(heap)
-        gone = bytearray(n + 1)
-        while heap:
-            _, left, middle, right = heapq.heappop(heap)
-            if gone[left] or gone[middle] or ends[left] != middle or ends[middle] != right:
-                continue
-            ends[left] = right
-            gone[middle] = 1
-            if right < n:
-                before[right] = left
-                p = lattice.get((left, ends[right]))
-                if p is not None:
-                    heapq.heappush(heap, (-scores[p], left, right, ends[right]))
-            if before[left] >= 0:
-                p = lattice.get((before[left], right))
-                if p is not None:
-                    heapq.heappush(heap, (-scores[p], before[left], left, right))
-        out, i = [], 0
-        while i < n:
-            p = lattice.get((i, ends[i]))
-            if p is not None:
-                out.append(self.pieces.numbers[p])
-            else:
-                out += [self.pieces.byte_numbers[b] for b in word[i : ends[i]].encode("utf-8", "surrogatepass")]
-            i = ends[i]
-        return out
+        lattice = np.zeros((len(text), self.depth + 1), np.int32)
+        lattice[at, self.lengths[piece]] = piece + 1
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        chars = np.ones(len(text), bool)
+        chars[starts[1:-1] - 1] = False
+        left, right, of = self.relax(np.flatnonzero(chars), np.repeat(np.arange(len(words)), [len(w) for w in words]), lattice)
+        found = np.where(right - left <= self.depth, lattice[left, np.minimum(right - left, self.depth)], 0)
+        numbers = self.numbers[found - 1]
+        if not found.all():
+            parts = [[n] if f else [self.pieces.byte_numbers[b] for b in text[i:j].encode("utf-8", "surrogatepass")] for n, f, i, j in zip(numbers.tolist(), found.tolist(), left.tolist(), right.tolist(), strict=True)]
+            of = np.repeat(of, [len(x) for x in parts])
+            numbers = np.array([n for x in parts for n in x], np.int32)
+        while self.used + len(numbers) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(numbers)] = numbers
+        ends = self.used + np.cumsum(np.bincount(of, minlength=len(words)))
+        begins = np.concatenate([[self.used], ends[:-1]])
+        self.used += len(numbers)
+        self.known.update(zip(words, (begins << 24 | (ends - begins)).tolist(), strict=True))
+
+    def relax(self, at: np.ndarray, of: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(from, to, word) of the symbols that are left when no edge joins two neighbours of a word.
+
+        In each round every word applies its best edge, the left one of equals; words without one are done.
+        """
+        left, right, done = at, at + 1, []
+        while len(left):
+            pair = np.zeros(len(left), np.int32)
+            near = (of[1:] == of[:-1]) & (right[1:] - left[:-1] <= self.depth)
+            k = np.flatnonzero(near)
+            pair[k] = lattice[left[k], right[k + 1] - left[k]]
+            score = self.scores[pair]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            counts = np.diff(first, append=len(of))
+            best = np.repeat(np.maximum.reduceat(score, first), counts)
+            open_ = best > -np.inf
+            if not open_.all():
+                done.append((left[~open_], right[~open_], of[~open_]))
+            hit = np.flatnonzero(open_ & (score == best))
+            hit = hit[np.concatenate([[True], of[hit][1:] != of[hit][:-1]])] if len(hit) else hit
+            right = right.copy()
+            right[hit] = right[hit + 1]
+            keep = open_
+            keep[hit + 1] = False
+            left, right, of = left[keep], right[keep], of[keep]
+        left, right, of = (np.concatenate([d[i] for d in done]) for i in range(3)) if done else (left, right, of)
+        order = np.argsort(left)
+        return left[order], right[order], of[order]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece numbers of each text."""
         split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn([w for words in split for w in words])
-        known = self.known
-        return [np.array([i for w in words for i in known[w]], np.int32) for words in split]
+        self.learn(set().union(*split))
+        where = np.fromiter((self.known[w] for words in split for w in words), np.int64)
+        begins, sizes = where >> 24, where & 0xFFFFFF
+        total = np.cumsum(sizes)
+        tokens = self.flat[np.repeat(begins - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.concatenate([[0], total])[np.cumsum([0, *map(len, split)])]
+        return [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def decode_numbers(numbers: list[int], decoded: list[bytes]) -> str:
