@@ -142,3 +142,14 @@ def test_scalars(spark):
     got = [r[0] for r in df.orderBy("x").select(scalars.chi2_tail_column(df["x"])).collect()]
     assert got == pytest.approx([scalars.chi2_tail(x) for x in xs], rel=1e-9)
     assert scalars.fixed(0.125, 2) == "0.12" and scalars.python_float(1e16) == "1e+16"
+
+
+def test_scalar_queries_cover_the_whole_table(spark, tmp_path):
+    from lodeseam.plans.queries import QUERIES
+
+    rows = [(k, n, n / 100, float(n)) for k in (1, 999, 1000, 70_000) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {"scalar_density": lambda r: math.exp(-0.5 * r[2] ** 2) / scalars.ROOT_TAU, "scalar_chi2_tail": lambda r: scalars.chi2_tail(r[3])}
+    for name, value in want.items():
+        got = {r[:2]: r[2] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == {r[:2]: pytest.approx(value(r), abs=1e-11) for r in rows}
