@@ -38,12 +38,18 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """Like checkpointed(), as a Parquet table: smaller, and read column by column. Deleted when Python ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodeseam-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when Python ends."""
+    path = f"{shared_folder(spark)}/lodeseam-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is not None:

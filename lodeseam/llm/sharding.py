@@ -1,13 +1,14 @@
-"""Sharding by a two-pass external shuffle, in DataFrame operations only.
+"""Sharding whole records by a two-pass external shuffle, in DataFrame operations only.
 
 Pass one scatters the records with seeded hashes: the identifier and the number of shards decide the
-shard (highest random weight, so one more shard takes rows only into itself), a second hash decides the
-memory-sized bucket inside the shard. Pass two shuffles each sorted bucket by Fisher-Yates (inside-out, its
-draws seeded by bucket and step, since Spark's own `shuffle` depends on the partition a row happens to be
-in) and numbers its records after those of the buckets before it.
-
-No bucket depends on how skewed a column other than the identifier is. Identical records are counted
-before the shuffle, so a hot identifier costs one list entry, and are spread out again afterwards.
+shard (highest random weight, so one more shard takes rows only into itself), a second hash, of identifier
+and text, decides the memory-sized bucket inside the shard. Pass two shuffles each sorted bucket by
+Fisher-Yates (inside-out, its draws seeded by bucket and step, since Spark's own `shuffle` depends on the
+partition a row happens to be in), numbers its records after those of the buckets before it and writes them.
+
+No bucket depends on how skewed a column other than the identifier is. Identical records of an identifier
+that has more rows than a bucket are counted before the shuffle, so they cost one list entry, and are spread
+out again afterwards.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseam.llm.base import pieces, whole_text
+from lodeseam.llm.base import checkpointed, fresh_folder, pieces, whole_text
 
 SEED = 20_240_229
 SHARDS = 24
@@ -33,64 +34,68 @@ def fisher_yates(records: Column, *keys: Column) -> Column:
     return F.aggregate(records, F.slice(records, 1, 0), step)
 
 
+def _weights(shards: int, seed: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.xxhash64(F.lit(seed), F.col("_id"), s))
+
+
 def assign_shards(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, path: str | None = None
 ) -> DataFrame:
-    """`id_col`, size, text_crc32, law, shard, slot and grown_shard of every row of `df`.
+    """`id_col`, size, text_crc32, law, shard, slot and grown_shard of every record of the shards of `df`.
 
-    size is the UTF-8 length of the text plus 8. A null text counts as empty (size 8, checksum 0); a null
-    identifier is a value like any other; identical rows get neighbouring slots; an empty table gives no
-    rows. Other columns of `df` are not read and cannot clash.
+    The whole records are written to `path` (a folder in the shared one, deleted when Python ends, if None) and
+    read back. size is the UTF-8 length of the text plus 8. A null text counts as empty (size 8, checksum 0); a
+    null identifier is a value like any other; an empty table gives no rows.
     """
-    if shards < 1:
-        raise ValueError("shards must be at least 1")
-    slim = df.select(F.col(id_col).alias("_id"), (F.octet_length(whole_text(text_col)) + 8).cast("long").alias("size"), F.crc32(whole_text(text_col)).alias("text_crc32"))
-    subs = pieces(df.select(id_col).count(), shards * bucket_rows)
-    weights = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.xxhash64(F.lit(seed), F.col("_id"), s))
-    placed = (
-        slim.groupBy("_id", "size", "text_crc32")
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_weights", weights)
-        .withColumn("_best", F.array_max("_weights"))
-        .select(
-            "_id", "size", "text_crc32", "_copies",
-            (F.array_position("_weights", F.col("_best")) - 1).cast("int").alias("shard"),
-            (F.xxhash64(F.lit(seed), F.col("_id"), F.lit(shards)) > F.col("_best")).alias("_moves"),
-            F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id")), F.lit(subs)).cast("int").alias("_sub"),
-        )
-    )
-    record = F.struct("_id", "size", "text_crc32", "_copies", "_moves")
-    before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("shard", "_sub").agg(F.sum("_copies").alias("_n")).select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("shard", "_sub").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.groupBy("shard", "_sub")
-        .agg(F.array_sort(F.collect_list(record)).alias("_bucket"))
-        .withColumn("_bucket", fisher_yates(F.col("_bucket"), F.lit(seed), F.col("shard"), F.col("_sub")))
-        .join(offsets, ["shard", "_sub"])
-        .select("shard", "_sub", "_offset", F.posexplode("_bucket").alias("_pos", "_record"))
-        .withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_record._copies").over(inside), F.lit(0)))
-        .select("shard", "_start", "_record", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_record._copies") - 1)).alias("_copy"))
-        .select(
-            F.col("_record._id").alias(id_col), F.col("_record.size").alias("size"), F.col("_record.text_crc32").alias("text_crc32"),
-            F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_copy")).alias("slot"),
-            F.when(F.col("_record._moves"), F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("grown_shard"),
-        )
+    back = write_shards(df, path or fresh_folder(df.sparkSession), id_col, text_col, shards, seed, bucket_rows)
+    out = back.select(F.col(id_col).alias("_id"), (F.octet_length(whole_text(text_col)) + 8).cast("long").alias("size"), F.crc32(whole_text(text_col)).alias("text_crc32"), "_shard", "_slot")
+    moves = F.xxhash64(F.lit(seed), F.col("_id"), F.lit(shards)) > F.array_max(_weights(shards, seed))
+    return out.select(
+        F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"),
+        F.when(moves, F.lit(shards)).otherwise(F.col("_shard")).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def write_shards(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Write whole records to `path`, one folder per shard, in slot order; return the records read back.
 
-    Records with one identifier and text are interchangeable; each gets one of their slots. Slots stay in
-    the column `_slot`, so a reader restores the exact order from any number of files.
+    Slots stay in the column `_slot`, so a reader restores the exact order from any number of files. Identical
+    records get neighbouring slots. The columns of `df` must be of kinds that can be ordered.
     """
-    places = assign_shards(df, id_col, text_col, shards, seed).select(F.col(id_col).alias("_id"), "size", "text_crc32", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    copies = Window.partitionBy("_id", "size", "text_crc32")
-    places = places.withColumn("_nth", F.row_number().over(copies.orderBy("_slot")))
-    rows = df.select("*", F.col(id_col).alias("_id"), (F.octet_length(whole_text(text_col)) + 8).cast("long").alias("_size"), F.crc32(whole_text(text_col)).alias("_crc"))
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_size", "_crc").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))))
-    joined = rows.join(places, rows["_id"].eqNullSafe(places["_id"]) & (rows["_size"] == places["size"]) & (rows["_crc"] == places["text_crc32"]) & (rows["_row"] == places["_nth"]))
-    out = joined.select(*[rows[c] for c in df.columns], "_shard", "_slot")
-    out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if shards < 1:
+        raise ValueError("shards must be at least 1")
+    spark, names = df.sparkSession, df.columns
+    subs = pieces(df.select(id_col).count(), shards * bucket_rows)
+    rows = df.select(F.col(id_col).alias("_id"), F.struct(*names).alias("_row"), whole_text(text_col).alias("_text"), F.lit(1).cast("long").alias("_copies"))
+    often = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket_rows).select(F.col("_id").alias("_often"), F.lit(True).alias("_hot"))
+    often = checkpointed(often)  # one in `bucket_rows` rows at most
+    hot = not often.isEmpty()
+    if hot:
+        marked = rows.join(F.broadcast(often), rows["_id"].eqNullSafe(often["_often"]), "left").drop("_often")
+        copies = marked.where("_hot").groupBy("_id", "_row", "_text").agg(F.count(F.lit(1)).alias("_copies"))
+        rows = marked.where("_hot is null").drop("_hot").union(copies)
+    weights = rows.withColumn("_weights", _weights(shards, seed)).withColumn("_best", F.array_max("_weights"))
+    placed = weights.select(
+        (F.array_position("_weights", F.col("_best")) - 1).cast("int").alias("_shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_id"), F.col("_text")), F.lit(subs)).cast("int").alias("_sub"), F.struct("_id", "_row", "_copies").alias("_record"),
+    )
+    before = Window.partitionBy("_shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_shard", "_sub").agg(F.sum("_record._copies").alias("_n"))
+    offsets = checkpointed(offsets.select("_shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))  # one in `bucket_rows` rows
+    buckets = (
+        placed.repartitionByRange("_shard", "_sub").groupBy("_shard", "_sub")
+        .agg(F.array_sort(F.collect_list("_record")).alias("_bucket"))
+        .withColumn("_bucket", fisher_yates(F.col("_bucket"), F.lit(seed), F.col("_shard"), F.col("_sub")))
+        .join(F.broadcast(offsets), ["_shard", "_sub"])
+    )
+    if hot:
+        start = lambda i: F.aggregate(F.slice("_bucket", F.lit(1), i), F.lit(0).cast("long"), lambda acc, r: acc + r["_copies"])
+        buckets = buckets.withColumn("_bucket", F.transform("_bucket", lambda r, i: F.struct(r["_row"].alias("_row"), r["_copies"].alias("_copies"), start(i).alias("_at"))))
+        spread = buckets.select("_shard", "_offset", F.explode("_bucket").alias("_record")).select("_shard", "_offset", "_record", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_record._copies") - 1)).alias("_copy"))
+        slots = spread.select("_record._row.*", "_shard", (F.col("_offset") + F.col("_record._at") + F.col("_copy")).alias("_slot"))
+    else:
+        slots = buckets.select("_shard", "_offset", F.posexplode("_bucket").alias("_at", "_record")).select("_record._row.*", "_shard", (F.col("_offset") + F.col("_at")).alias("_slot"))
+    slots.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").mode("overwrite").parquet(path)
+    return spark.read.schema(df.select("*", F.lit(0).cast("long").alias("_slot"), F.lit(0).alias("_shard")).schema).parquet(path)

@@ -105,6 +105,19 @@ def test_sharding(docs, rows, empty, tmp_path):
     assert sorted(map(str, (r[:7] for r in back.select(*docs.columns).collect()))) == sorted(map(str, rows))
 
 
+def test_sharding_moves_whole_records(spark, docs, rows, tmp_path):
+    for bucket_rows in (4, 64):
+        path = str(tmp_path / f"s{bucket_rows}")
+        got = sharding.assign_shards(docs, shards=3, bucket_rows=bucket_rows, path=path).collect()
+        back = spark.read.parquet(path).collect()
+        assert sorted(map(str, (r[:7] for r in back))) == sorted(map(str, rows))
+        data = lambda t: (t or "").encode()
+        assert sorted((r._shard, r._slot, r.doc_id, len(data(r.text)) + 8, zlib.crc32(data(r.text))) for r in back) == sorted((r.shard, r.slot, r.doc_id, r.size, r.text_crc32) for r in got)
+    ones = spark.createDataFrame([(None, "a")] * 5 + [(None, None), (7, "b"), (7, "c")], "doc_id long, text string")
+    got = sharding.assign_shards(ones, shards=2, bucket_rows=2).collect()
+    assert Counter(r.size for r in got) == {9: 7, 8: 1} and len({(r.shard, r.slot) for r in got}) == 8
+
+
 def filled(sizes):
     names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [n for n in sizes if n is None]
     weight = {n: (1, 2, 3)[i % 3] for i, n in enumerate(names)}
