@@ -3,7 +3,7 @@
 Each stage takes the documents its predecessor wrote and decides over all of them:
 
 quality     fits the ordinal classifier on the labelled documents it is given and drops those below its cut;
-near_dups   keeps the document with the least identifier of each n-gram Jaccard component;
+near_dups   keeps one row of each n-gram Jaccard component, that with the least identifier;
 pii         replaces every confirmed span of personal data by its kind;
 mix         gives each source its target words: documents not taken go, others are repeated as often as
             they are taken, the one at which a source's target is reached ends there;
@@ -11,7 +11,8 @@ tokens      encodes the texts with SentencePiece and returns tokens instead of t
 
 A null text counts as empty: it passes `quality`, is nobody's near copy, holds nothing, and is not taken by
 `mix`. Extra columns are dropped by the first stage. Rows that repeat stay until `near_dups`, which keeps one;
-of rows that share an identifier but not the text, those whose own text is nobody's near copy stay.
+rows that share an identifier but not the rest are decided one by one, the least of one component by a hash. A
+null identifier is greater than all others.
 """
 
 from __future__ import annotations
@@ -31,10 +32,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where("keep").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of `docs` and `_row`: one key for each distinct row, by identifier (null last), then a hash of the rest."""
+    rest = F.xxhash64(*[x for c in COLUMNS[1:] for x in (F.col(c).isNull(), F.col(c))])
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", rest.alias("rest")).alias("_row"))
+
+
 def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    parts = ngram_join.jaccard_components(docs)
-    others = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").distinct()
+    docs = keyed(docs)
+    parts = ngram_join.jaccard_components(docs, "_row")
+    others = parts.where("_row <> component_id").select("_row").distinct()
+    return docs.join(others, "_row", "left_anti").select(*COLUMNS).distinct()
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,15 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dups_with_shared_and_null_identifiers(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    near = lambda w: text(w) + " end"
+    rows = [(3, text("a")), (5, near("a")), (5, text("b")), (8, text("c")), (8, near("c")), (None, text("d")), (None, near("d")), (None, near("b")), (9, None), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.near_dups_stage(spark, docs, "").collect()]
+    kept = [x for x in got if x[1]]
+    assert (3, text("a")) in kept and (5, text("b")) in kept and len(kept) == 4
+    assert sorted((i, t.split()[0]) for i, t in kept if i is not None) == [(3, "a0"), (5, "b0"), (8, "c0")] and [t.split()[0] for i, t in kept if i is None] == ["d0"]
+    assert sorted(map(str, (x for x in got if not x[1]))) == ["(9, None)", "(None, '')"]
