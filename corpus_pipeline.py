@@ -12,7 +12,8 @@ tokens      encodes the texts with SentencePiece and returns tokens instead of t
 A null text counts as empty: it passes `quality`, is nobody's near copy, holds nothing, and is not taken by
 `mix`. Extra columns are dropped by the first stage. Rows that repeat stay until `near_dups`, which keeps one;
 rows that share an identifier but not the rest are decided one by one, the least of one component by a hash. A
-null identifier is greater than all others.
+null identifier is greater than all others. `mix` takes every row by its own words, whatever its identifier, and
+equal rows (masking can make some) each as often as they occur.
 """
 
 from __future__ import annotations
@@ -52,11 +53,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix_sources(docs).where("taken > 0").select("doc_id", "size", "taken")
-    rows = docs.select(*COLUMNS).join(taken, "doc_id")
+    docs = keyed(docs)
+    taken = mixing.mix_sources(docs, "_row").where("taken > 0").groupBy("_row", "size", "taken").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    rows = docs.repartition("_row").distinct().join(taken, "_row")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     uses = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    used = rows.withColumn("_cut", F.explode(uses))
+    used = rows.withColumn("_cut", F.explode(F.flatten(F.array_repeat(uses, F.col("_times")))))
     words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_cut").cast("int"))
     used = used.withColumn("text", F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(words, "")))
     return used.withColumn("n_chars", F.when(F.col("_cut") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)

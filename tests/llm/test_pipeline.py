@@ -124,3 +124,16 @@ def test_near_dups_with_shared_and_null_identifiers(spark):
     assert (3, text("a")) in kept and (5, text("b")) in kept and len(kept) == 4
     assert sorted((i, t.split()[0]) for i, t in kept if i is not None) == [(3, "a0"), (5, "b0"), (8, "c0")] and [t.split()[0] for i, t in kept if i is None] == ["d0"]
     assert sorted(map(str, (x for x in got if not x[1]))) == ["(9, None)", "(None, '')"]
+
+
+def test_mix_with_shared_and_null_identifiers(spark):
+    rows = [(i, " ".join(f"{c}{j}" for j in range(n))) for i, c, n in [(1, "a", 20), (1, "b", 5), (None, "c", 7), (None, "d", 11), (2, "e", 9), (2, "e", 9), (None, "f", 3), (None, "f", 3)]]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.mix_stage(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    more = docs.union(spark.createDataFrame([(None, "x " * 40, "en", "b", 80)], docs.schema))
+    got, size = cp.mix_stage(spark, more, "").collect(), Counter()
+    for r in got:
+        size[r.source] += len(r.text.split())
+    want = filled({"a": sum(len(t.split()) for _, t in rows), "b": 40})
+    assert all(abs(size[s] - want[s]) <= 1 for s in want)
