@@ -3,7 +3,8 @@
 DataFrame functions only. A text is cut by the pattern (the gaps) and the matches are extracted; running
 lengths of gaps and matches give code-point offsets. The patterns are possessive and anchored at the start
 of a run (or the end of the previous match), so they are linear in the text and need no deep recursion, and
-they match exactly where the plain leftmost pattern would.
+they match exactly where the plain leftmost pattern would. Account numbers are proposed at every head and end
+by their country's length, since capitals that follow them read like more of the number.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ class Kind:
     score: float
     words: str
     base: bool = True
+    group: int = 0
 
 
 KINDS = (
@@ -35,9 +37,15 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|host|server|adresse"),
     Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[ -]?[0-9])++", r"[0-9][0-9 -]{12}", 0.8, "card|visa|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.7, "phone|call|tel|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", 0.9, "iban|bank|account|konto|compte|cuenta", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z0-9]{4}", r"[A-Z]{2}[0-9]{2}", 0.9, "iban|bank|account|konto|compte|cuenta", base=False, group=1),
 )
 
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 
 def digits_of(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
@@ -66,9 +74,6 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.when(n.between(14, 19), luhn(digits_of(match))).otherwise(False)
     if kind == "phone":
         return n.between(10, 15)
-    if kind == "iban":
-        plain = F.replace(match, F.lit(" "), F.lit(""))
-        return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(False)
     return F.lit(True)
 
 
@@ -86,6 +91,45 @@ def _spans(kind: Kind, order: int, text: Column, matches: Column, gaps: Column)
     return F.when(F.size(matches) > 0, F.aggregate(F.transform(matches, item), start, step, lambda acc: acc["spans"])).otherwise(empty)
 
 
+def account_length(run: Column) -> Column:
+    """How many characters at the start of `run` are an account number, 0 if none.
+
+    An account ends where a word of the run ends, has 15 to 34 characters and passes mod-97. The country's
+    length comes first, then the whole run, then for a country without a known length any, the longest first.
+    """
+    plain = lambda p: F.replace(p, F.lit(" "), F.lit(""))
+    known = F.coalesce(*[F.when(F.left(run, F.lit(2)).isin(names.split()), F.lit(n)) for n, names in IBAN_LENGTHS.items()], F.lit(0))
+    words = F.split(run, " ")
+    starts = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    shaped = F.filter(starts, lambda p: plain(p).rlike("^[A-Z0-9]{15,34}$"))
+    good = lambda p, i: ((known == F.length(plain(p))) | (known == 0) | (i == 0)) & mod97(plain(p))
+    fits = F.filter(shaped, good)
+    exact = F.filter(fits, lambda p: F.length(plain(p)) == known)
+    return F.coalesce(F.length(F.get(exact, F.lit(0))), F.length(F.get(fits, F.lit(0))), F.lit(0))
+
+
+def _account_spans(kind: Kind, order: int, text: Column, runs: Column, gaps: Column) -> Column:
+    """Like _spans() for runs that start at every possible head of an account; heads inside an account do not count.
+
+    A match is only the head's four characters, so what follows an account is proposed on its own.
+    """
+    near = lambda a, s, e: F.concat(
+        F.right(F.substring(text, a + 1, s - a), F.lit(CONTEXT_CHARS)), F.lit(" "), F.left(F.get(F.split(F.substring(text, e + 1, F.lit(2 * CONTEXT_CHARS)), kind.pattern, 2), F.lit(0)), F.lit(CONTEXT_CHARS))
+    ).rlike(f"(?i){kind.words}")
+    score = lambda a, s, e: F.when(near(a, s, e), F.lit(min(1.0, kind.score + 0.1))).otherwise(F.lit(kind.score))
+    empty = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string,score:double>>)")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), empty.alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s, e = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
+        span = F.struct(s.alias("start"), F.lit(order).alias("order"), e.alias("end"), F.lit(kind.name).alias("kind"), score(acc["end"], s, e).alias("score"))
+        ok = (x["n"] > 0) & (s >= acc["end"])
+        return F.struct((s + 4).alias("at"), F.when(ok, e).otherwise(acc["end"]).alias("end"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    items = F.transform(runs, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), account_length(m).alias("n")))
+    return F.when(F.size(runs) > 0, F.aggregate(items, start, step, lambda acc: acc["spans"])).otherwise(empty)
+
+
 def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """`df` with the column `_pii`: array<struct(start, order, end, kind, score)>, by start, then kind.
 
@@ -97,9 +141,9 @@ def find_pii(df: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KI
     for k in kinds:
         hit = F.col("_pii_text").contains(k.hint) if k.hint == "@" else F.col("_pii_text").rlike(k.hint)
         none = F.expr("cast(array() as array<string>)")
-        out = out.withColumn(f"_pii_m_{k.name}", F.when(hit, F.regexp_extract_all("_pii_text", F.lit(k.pattern), F.lit(0))).otherwise(none))
+        out = out.withColumn(f"_pii_m_{k.name}", F.when(hit, F.regexp_extract_all("_pii_text", F.lit(k.pattern), F.lit(k.group))).otherwise(none))
         out = out.withColumn(f"_pii_g_{k.name}", F.when(F.size(f"_pii_m_{k.name}") > 0, F.split("_pii_text", k.pattern, -1)).otherwise(none))
-    found = [_spans(k, i, F.col("_pii_text"), F.col(f"_pii_m_{k.name}"), F.col(f"_pii_g_{k.name}")) for i, k in enumerate(kinds)]
+    found = [(_account_spans if k.group else _spans)(k, i, F.col("_pii_text"), F.col(f"_pii_m_{k.name}"), F.col(f"_pii_g_{k.name}")) for i, k in enumerate(kinds)]
     out = out.withColumn("_pii", F.array_sort(F.concat(*found)))
     return out.drop("_pii_text", *[f"_pii_{x}_{k.name}" for k in kinds for x in "mg"])
 
