@@ -20,7 +20,10 @@ from lodeseam.llm.base import whole_text
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCKS = r"\n+|(?<=[.!?;])\s+"
+#: What ends a sentence; single letters and these abbreviations end none.
+SENTENCES = r"(?<=[.!?;])(?<!\b[A-Za-z]\.)(?<!\b[Vv]er\.)(?<!\b[Vv]ers\.)(?<!\b[Nn]o\.)(?<!\b[Ii]nc\.)(?<!\b[Ll]td\.)(?<!\b[Cc]orp\.)(?<!\b[Ll]ic\.)\s+"
+BLOCKS = r"\n+|" + SENTENCES
+WRAPPED = r"\n[ \t\x0B\f\r]*\n\s*|" + SENTENCES
 CONTAINMENT = 0.8
 #: Base phrases and labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -83,10 +86,24 @@ def _matches(block: Column, order: list[str], templates: list[Template]) -> Colu
     return F.filter(F.flatten(each), lambda x: x.isNotNull())
 
 
+def _around_breaks(sentence: Column, n: int) -> Column:
+    """The `n` words before and after each line break of `sentence`, joined by spaces."""
+    lines = F.filter(F.split(sentence, "\n"), lambda line: line.rlike(WORD))
+    words = lambda part: F.filter(F.split(F.array_join(part, " "), SEPARATORS), lambda w: w != "")
+
+    def window(k: Column) -> Column:
+        before, after = words(F.slice(lines, F.greatest(F.lit(1), k - n + 1), F.least(k, F.lit(n)))), words(F.slice(lines, k + 1, F.lit(n)))
+        return F.array_join(F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - n + 1), F.lit(n)), F.slice(after, 1, n)), " ")
+
+    none = F.expr("cast(array() as array<string>)")
+    return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(1), F.size(lines) - 1), window)).otherwise(none)
+
+
 def scan_licenses(df: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """`df` with `_licenses`: array<struct(label, containment)>, one per block and template that meet.
 
-    A block is a line or a sentence of it. Words are runs of letters, digits and non-ASCII characters with
+    A block is a line or a sentence of it, or, for wrapped notices, what stands around a line break inside a
+    sentence of a paragraph: as many words as the template has on either side. Words are runs of letters, digits and non-ASCII characters with
     A-Z lower-cased. A null or empty text holds nothing. Word counts cover all texts of `df`, whole.
     """
     if not 0 < containment <= 1:
@@ -100,8 +117,12 @@ def scan_licenses(df: DataFrame, text_col: str = "text", templates: dict[str, st
     blocks = F.when(text.rlike(pattern), F.filter(F.split(text, BLOCKS), lambda b: b.rlike(pattern)))
     found = F.flatten(F.transform("_license_blocks", lambda b: _matches(b, order, ready)))
     none = F.expr("cast(array() as array<struct<label:string,containment:double>>)")
-    out = df.withColumn("_license_blocks", blocks)
-    return out.withColumn("_licenses", F.when(F.size("_license_blocks") > 0, found).otherwise(none)).drop("_license_blocks")
+    wrapped = F.when(text.rlike(pattern), F.filter(F.split(text, WRAPPED), lambda b: b.contains("\n") & b.rlike(pattern)))
+    lengths = {label: len(t.split()) for t, label in templates.items()}
+    around = lambda t: F.flatten(F.transform(F.flatten(F.transform("_license_wrapped", lambda b: _around_breaks(b, lengths[t.label]))), lambda b: _matches(b, order, [t])))
+    more = F.when(F.size("_license_wrapped") > 0, F.concat(*[around(t) for t in ready])).otherwise(none)
+    out = df.withColumn("_license_blocks", blocks).withColumn("_license_wrapped", wrapped)
+    return out.withColumn("_licenses", F.concat(F.when(F.size("_license_blocks") > 0, found).otherwise(none), more)).drop("_license_blocks", "_license_wrapped")
 
 
 def phrase_places(df: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRASES) -> DataFrame:

@@ -52,6 +52,20 @@ def test_pii_context_raises_the_score_and_masks(spark):
     assert got[1].m == "my card <CARD> ok" and got[3].m is None
 
 
+def test_accounts_before_capitals(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = [
+        f"{de} BIC COBADEFF", f"pay {de} EUR 5", f"{gb} I said", f"{spaced} BIC COBADEFFXXX", f"{gb} {de} {spaced}", f"AB12 {spaced} X", f"\U0001f600 {spaced} EUR and {gb}", f"{de}BIC COBADEFF",
+        "DE89370400440532013001 BIC COBADEFF", f"x{de}", f"{de}abc", "NO9386011117947 5 EUR", f"{de}.",
+    ]
+    want = [[de], [de], [gb], [spaced], [gb, de, spaced], [spaced], [spaced, gb], [], [], [], [], ["NO9386011117947"], [de]]
+    df = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in df.select("doc_id", "_pii", pii.masked(df["text"], df["_pii"]).alias("m")).collect()}
+    for i, (t, w) in enumerate(zip(texts, want, strict=True)):
+        assert [t[x.start : x.end] for x in got[i]._pii if x.kind == "iban"] == w, t
+    assert got[3].m == "<IBAN> BIC COBADEFFXXX" and got[4].m == "<IBAN> <IBAN> <IBAN>"
+
+
 def places(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     found = [(i, label) for p, label in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
@@ -86,6 +100,20 @@ def test_licenses(docs, rows, empty):
         licenses.scan_licenses(docs, containment=0)
 
 
+def test_wrapped_licenses(spark):
+    texts = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "gpl-text": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published",
+        "mpl-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\r\n# License, v. 2.0. If a copy",
+        "apache-2.0": " * Licensed\n * under the\n * Apache License,\n * Version 2.0",
+        "mit-notice": "Released under the\nMIT License",
+        "": "Redistribution and use in source and binary forms.\n\nWith or without modification, are permitted",
+    }
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r.doc_id: r._licenses for r in licenses.scan_licenses(df).collect()}
+    assert [sorted({x.label for x in got[i]}) for i in range(len(texts))] == [[t] if t else [] for t in texts]
+
+
 def test_sharding(docs, rows, empty, tmp_path):
     got = sharding.assign_shards(docs, shards=5, bucket_rows=4).collect()
     again = sharding.assign_shards(docs.repartition(7), shards=5, bucket_rows=4).collect()
