@@ -15,15 +15,17 @@ def _star(pairs: DataFrame, kept: str) -> DataFrame:
     return tied.union(least.select("u", F.col("m").alias("v"))) if kept == "true" else tied
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of `links` (u, v), root the least node it can reach.
 
-    Rounds grow with the logarithm of the longest path. Each ends in the shared checkpoint folder; only a
-    count and a checksum come to the driver.
+    Rounds grow with the logarithm of the longest path, and end when the table stays as it is. Each ends in the
+    shared checkpoint folder; only a count and a checksum come to the driver. Links that repeat, turn round or tie
+    a node to itself change nothing; a node with no other link has no row, so an empty table gives none. Nulls are
+    not allowed in u and v, and other columns are not read.
     """
     edges = checkpointed(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, "v > u")
         down = large.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -33,6 +35,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == now:
             break
         seen = now
-    else:
-        raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

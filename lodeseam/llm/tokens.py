@@ -7,7 +7,9 @@ random value of its place), then mixed; a shingle's is the same over its words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTE
             at = upto
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` that gives its freed memory back to the system at its end, since Spark keeps Python workers for later tasks."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+
+    return whole
+
+
 def offsets(column: pa.Array) -> np.ndarray:
     """Byte offsets of the values in the column's buffer."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

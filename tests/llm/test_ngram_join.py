@@ -98,3 +98,35 @@ def test_word_hashes_follow_words(spark):
     h, off = tokens.word_hashes(pa.array(texts))
     assert list(np.diff(off)) == [3, 0, 0, 1, 3, 1, 1]
     assert h[0] == h[3] == h[6] and h[1] == h[8] and h[4] != h[5] and len(set(h.tolist())) == 6
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        both, one, two = (rng.integers(0, 2**64, rng.integers(1, 400), dtype=np.uint64) for _ in range(3))
+        a, b = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, two]))
+        differ = len(np.setxor1d(a, b))
+        assert ngram_join.differing(ngram_join.sketch(a), ngram_join.sketch(b)) <= differ
+        assert ngram_join.differing(ngram_join.sketch(a), ngram_join.sketch(a)) == 0
+
+
+def test_null_and_shared_identifiers(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(60)]
+    other = [f"v{rng.randrange(4000)}" for _ in range(60)]
+    rows = [(None, " ".join(base)), (7, noisy(rng, base, 1)), (None, noisy(rng, other, 1)), (None, " ".join(other)), (4, " ".join(base[:3])), (4, noisy(rng, base, 1)), (9, None), (None, ""), (None, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    sets = [(i, shingles(t)) for i, t in rows]
+    parts = [0, 0, 1, 1, 2, 0, 3, 4, 5]
+    least = {p: min((i for (i, _), q in zip(rows, parts) if q == p and i is not None), default=None) for p in parts}
+    assert sorted(map(tuple, got), key=key) == sorted(((i, len(s), least[p]) for (i, s), p in zip(sets, parts)), key=key)
+
+
+@pytest.mark.parametrize("each", [4, 64])
+def test_cut_blocks_lose_nothing(spark, monkeypatch, each):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", each)
+    monkeypatch.setattr(ngram_join, "PAIRS_EACH", 3)
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 2)
+    rows = corpus(5)
+    assert sorted(map(tuple, ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
