@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeseam.llm.base import checkpointed, pieces, whole_text
-from lodeseam.llm.tokens import slices
+from lodeseam.llm.tokens import released, slices
 
 BUCKET_ROWS = 512
 MOST_BUCKETS = 20_000
@@ -47,6 +47,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """`id_col` and fingerprint of every row; a null text counts as empty."""
     kind = df.schema[id_col].dataType.simpleString()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t) for t in part.column(1).to_pylist()], pa.string())], [id_col, "fingerprint"])
@@ -93,6 +94,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = ["_bucket", "_carried", F.col("_id").desc_nulls_last(), F.col("_flag").desc(), "_text"]
     dealt = sent.repartition(len(limits) + 1, "_bucket").sortWithinPartitions(*order)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         last, flagged, out = None, object(), []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from lodeseam.llm import avi
 from lodeseam.llm.base import whole_text
-from lodeseam.llm.tokens import slices
+from lodeseam.llm.tokens import released, slices
 
 
 def payload(text: str) -> bytes:
@@ -23,6 +23,7 @@ def payload(text: str) -> bytes:
 def media_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and media (one AVI file) of every row; a null text counts as empty."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([avi.write(payload(t)) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "media"])
@@ -37,6 +38,7 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
     A null file has no clips; bytes that are no AVI file are an error.
     """
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             rows = []
@@ -76,6 +78,7 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         back = avi.stored_bytes(video, frames)
         return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), _feature(video, frames)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
             columns = zip(*map(row, part.column(1).to_pylist()), strict=True)

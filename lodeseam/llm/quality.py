@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodeseam.llm.base import checkpointed, unit_hash, whole_text
-from lodeseam.llm.tokens import SPACE, VALUE, mixed, noise, places, slices, utf8
+from lodeseam.llm.tokens import SPACE, VALUE, mixed, noise, places, released, slices, utf8
 
 GRADES = 3
 #: Bounds of the training sample and of the model.
@@ -171,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE,
     chosen = chosen[0].union(chosen[1]).union(chosen[2])  # GRADES * per_grade rows at most
     texts = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "_text")
 
+    @released
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2):
             row, feature = features(part.column(2))
@@ -207,6 +208,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in df.columns if c not in ("expected_grade", "tail", "keep")]
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, len(kept)):
             tails = shared.value.tails(part.column(len(kept)))

@@ -4,14 +4,16 @@ Of each slice of texts the distinct words not yet known are concatenated and ind
 at the longest piece. Every piece is binary-searched for its range of occurrences; these are the edges of
 the word lattices. Sorted by position, they are relaxed in the order the model's merges ask for: in each round every
 word applies its best-scored edge that joins two current neighbours, the left one of equals, until none is left.
-What no piece covers falls back to bytes. Words are white-space marks and what follows them, which no piece
+Very long words take the same edges from a heap instead, so a text without a space costs n log n. What no piece covers falls back to bytes. Words are white-space marks and what follows them, which no piece
 of a usable model crosses, so the words' encodings joined are the text's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeseam.llm.base import whole_text
-from lodeseam.llm.tokens import slices
+from lodeseam.llm.tokens import released, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MOST_KNOWN = 400_000
+#: Bounds of a worker's memory: of remembered words (64 more a word), of one suffix array, and bytes of a slice of texts.
+MOST_KNOWN = 16 << 20
 RUN_CHARS = 1 << 18
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: From this many characters on a word is relaxed by a heap.
+LONG_WORD = 512
 
 
 @dataclass(frozen=True)
@@ -67,16 +72,19 @@ class Encoder:
     """Encodes words, remembering a bounded number of them."""
 
     def __init__(self, pieces: Pieces) -> None:
-        self.pieces, self.known = pieces, {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.numbers = np.array(pieces.numbers, np.int32)
+        self.pieces = pieces
+        self.forget()
+        self.numbers, self.byte_numbers = np.array(pieces.numbers, np.int32), np.array(pieces.byte_numbers, np.int32)
         self.scores = np.array([-np.inf, *pieces.scores])
+        self.rank = np.unique(-self.scores, return_inverse=True)[1].tolist()
         alphabet = sorted({c for t in pieces.texts for c in t})
         if len(alphabet) > 0xFFFE:
             raise ValueError("too many different characters in the pieces")
         self.code = np.zeros(0x110000, np.uint16)
         self.code[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         self.depth = max(map(len, pieces.texts))
+        if self.depth > 31:
+            raise ValueError("a piece is longer than 31 characters")
         self.lengths = np.array([len(t) for t in pieces.texts])
         keys = np.zeros((len(pieces.texts), self.depth), ">u2")
         for i, t in enumerate(pieces.texts):
@@ -102,10 +110,14 @@ class Encoder:
         order = np.argsort(at, kind="stable")
         return at[order], piece[order]
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
     def learn(self, words: set[str]) -> None:
         """Encode the distinct words that are not yet known, in runs of a bounded number of characters."""
-        if len(self.known) > MOST_KNOWN:
-            self.known, self.flat, self.used = {}, np.zeros(1 << 16, np.int32), 0
+        if self.held > MOST_KNOWN:
+            self.forget()
         run, size = [], 0
         for word in sorted(words - self.known.keys()):
             run.append(word)
@@ -118,19 +130,23 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         text = "\0".join(words)
-        at, piece = self.edges(text)
-        lattice = np.zeros((len(text), self.depth + 1), np.int32)
-        lattice[at, self.lengths[piece]] = piece + 1
+        lattice = np.zeros((len(text), self.depth + 1), np.uint16 if len(self.numbers) < 0xFFFF else np.int32)
+        for start in range(0, len(text), RUN_CHARS):  # more than one only inside a very long word
+            at, piece = self.edges(text[start : start + RUN_CHARS + self.depth - 1])
+            lattice[start + at, self.lengths[piece]] = piece + 1
         starts = np.cumsum([0, *(len(w) + 1 for w in words)])
         chars = np.ones(len(text), bool)
         chars[starts[1:-1] - 1] = False
         left, right, of = self.relax(np.flatnonzero(chars), np.repeat(np.arange(len(words)), [len(w) for w in words]), lattice)
-        found = np.where(right - left <= self.depth, lattice[left, np.minimum(right - left, self.depth)], 0)
+        found = np.where(right - left <= self.depth, lattice[left, np.minimum(right - left, self.depth)].astype(np.int32), 0)
         numbers = self.numbers[found - 1]
-        if not found.all():
-            parts = [[n] if f else [self.pieces.byte_numbers[b] for b in text[i:j].encode("utf-8", "surrogatepass")] for n, f, i, j in zip(numbers.tolist(), found.tolist(), left.tolist(), right.tolist(), strict=True)]
-            of = np.repeat(of, [len(x) for x in parts])
-            numbers = np.array([n for x in parts for n in x], np.int32)
+        lost = np.flatnonzero(found == 0)
+        if len(lost):
+            raw = [text[i:j].encode("utf-8", "surrogatepass") for i, j in zip(left[lost].tolist(), right[lost].tolist(), strict=True)]
+            times = np.ones(len(found), np.int64)
+            times[lost] = [len(x) for x in raw]
+            numbers, of = np.repeat(numbers, times), np.repeat(of, times)
+            numbers[np.repeat(found == 0, times)] = self.byte_numbers[np.frombuffer(b"".join(raw), np.uint8)]
         while self.used + len(numbers) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(numbers)] = numbers
@@ -138,6 +154,7 @@ class Encoder:
         begins = np.concatenate([[self.used], ends[:-1]])
         self.used += len(numbers)
         self.known.update(zip(words, (begins << 24 | (ends - begins)).tolist(), strict=True))
+        self.held += len(text) + 64 * len(words)
 
     def relax(self, at: np.ndarray, of: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from, to, word) of the symbols that are left when no edge joins two neighbours of a word.
@@ -145,6 +162,13 @@ class Encoder:
         In each round every word applies its best edge, the left one of equals; words without one are done.
         """
         left, right, done = at, at + 1, []
+        sizes = np.bincount(of)
+        for word in np.flatnonzero(sizes >= LONG_WORD):
+            own = np.flatnonzero(of == word)
+            a, b = self.merged(lattice[at[own[0]] : at[own[-1]] + 1])
+            done.append((at[own[0]] + a, at[own[0]] + b, np.full(len(a), word)))
+        short = sizes[of] < LONG_WORD
+        left, right, of = left[short], right[short], of[short]
         while len(left):
             pair = np.zeros(len(left), np.int32)
             near = (of[1:] == of[:-1]) & (right[1:] - left[:-1] <= self.depth)
@@ -168,6 +192,29 @@ class Encoder:
         order = np.argsort(left)
         return left[order], right[order], of[order]
 
+    def merged(self, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like relax() for one word, from a heap of the edges that join neighbours; stale ones are passed over."""
+        n = len(lattice)
+        end, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        key = lambda piece, i, e: (self.rank[piece] * n + i) * 32 + e - i
+        two = np.flatnonzero(lattice[:-1, 2])
+        heap = [key(p, i, i + 2) for i, p in zip(two.tolist(), lattice[two, 2].tolist(), strict=True)]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top // 32 % n
+            e, m = i + top % 32, end[i]
+            if m == 0 or m >= n or end[m] != e:
+                continue
+            end[i], end[m] = e, 0
+            if e < n:
+                before[e] = i
+            for a, b in ((before[i], e), (i, end[e] if e < n else 0)):
+                if a >= 0 and 0 < b - a <= self.depth and (piece := lattice[a, b - a]):
+                    heapq.heappush(heap, key(piece, a, b))
+        ends = np.array(end)
+        return np.flatnonzero(ends), ends[ends > 0]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Piece numbers of each text."""
         split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
@@ -190,6 +237,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """`id_col`, n_tokens, tokens (array<int>) of every row; a null or empty text has no tokens."""
     shared = df.sparkSession.sparkContext.broadcast(load(model))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for part in slices(batches, 1, SLICE_BYTES):
@@ -204,6 +252,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", mo
     """`id_col` and text of every row of token arrays; a null array gives a null text."""
     shared = df.sparkSession.sparkContext.broadcast(load(model).decoded)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else decode_numbers(t, shared.value) for t in batch.column(1).to_pylist()]
@@ -221,6 +270,7 @@ def token_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     shared = df.sparkSession.sparkContext.broadcast(load(model))
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         decoded = shared.value.decoded

@@ -51,3 +51,18 @@ def test_table(docs, rows, empty, library):
     tokens = sp.encode(docs)
     assert {(r.doc_id, r.text) for r in sp.decode(tokens).collect()} == {(i, t) for i, t in texts.items()}
     assert sp.token_digest(empty).count() == sp.encode(empty).count() == 0
+
+
+def test_long_words_without_a_space(encoder, library):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC0123456789+/") for _ in range(400_000))
+    for t in (text, "ab" * 20_000 + " x", "日本語" * 3_000, "é" * 2_000 + "\x00" * 600, ("ab" * 300 + " ") * 3):
+        assert encoder.encode([t])[0].tolist() == library.encode(t)
+
+
+def test_forgetting_changes_nothing(encoder, library, monkeypatch):
+    monkeypatch.setattr(sp, "MOST_KNOWN", 100)
+    monkeypatch.setattr(sp, "RUN_CHARS", 64)
+    texts = [f"word{i} and a longer one {'x' * (i % 90)}" for i in range(200)] + ["z" * 700]
+    for part in (texts[:90], texts[80:], texts):
+        assert [t.tolist() for t in encoder.encode(part)] == library.encode(part)
