@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.errors import ValidationError
 from lodeseam.functions.scalars import chi2_tail_column
-from lodeseam.operators.stats import Plan
+from lodeseam.operators.stats import Plan, order_name
 from lodeseam.operators.targets import Constants, Target
 
 ANY = ("binary", "numeric", "itemsets", "line")
@@ -132,7 +132,7 @@ class StandardNumeric(Measure):
         return self.a >= 0 and (self.estimator == "order" or self.a <= 1)
 
     def plan(self, c: Constants) -> Plan:
-        return Plan(c.mean or 0.0, -1 if self.invert else 1, self.a, frozenset({"order"} if self.estimator == "order" else ()))
+        return Plan(c.mean or 0.0, -1 if self.invert else 1, frozenset({self.a} if self.estimator == "order" else ()))
 
     def check(self, target: Target, c: Constants) -> None:
         super().check(target, c)
@@ -145,7 +145,7 @@ class StandardNumeric(Measure):
 
     def estimate(self, c: Constants) -> Column:
         if self.estimator == "order":
-            return F.coalesce(F.col("order_bound"), F.lit(0.0))
+            return F.coalesce(F.col(order_name(self.a)), F.lit(0.0))
         if self.estimator == "sum":
             return F.col("excess").cast("double")
         return F.when(F.col("tail_n") > 0, power(F.col("tail_n").cast("double"), self.a) * F.col("tail_max")).otherwise(0.0)
@@ -165,7 +165,7 @@ class StandardMedian(Measure):
         return self.a >= 0
 
     def plan(self, c: Constants) -> Plan:
-        return Plan(c.median or 0.0, -1 if self.invert else 1, self.a, frozenset({"median"}))
+        return Plan(c.median or 0.0, -1 if self.invert else 1, median=True)
 
     def quality(self, c: Constants) -> Column:
         away = F.col("median") - F.lit(c.median)
@@ -254,7 +254,7 @@ class Combined(Measure):
 
     def plan(self, c: Constants) -> Plan:
         plans = [m.plan(c) for m, _ in self.parts]
-        return Plan(plans[0].centre, plans[0].sign, plans[0].power, frozenset().union(*(p.values for p in plans)))
+        return Plan(plans[0].centre, plans[0].sign, frozenset().union(*(p.orders for p in plans)), any(p.median for p in plans))
 
     @property
     def safe(self) -> bool:
@@ -326,7 +326,7 @@ class GaStandardNumeric(Measure):
     whole = True
 
     def plan(self, c: Constants) -> Plan:
-        return Plan(c.mean or 0.0, values=frozenset({"median"} if self.median else ()))
+        return Plan(c.mean or 0.0, median=self.median)
 
 
 @dataclass(frozen=True)

@@ -64,7 +64,7 @@ class Lattice:
     def __init__(self, p: Prepared) -> None:
         self.p = p
         self.measures = row_measures(p.task.target, p.constants, p.plan)
-        self.by_value = bool(p.plan.values)
+        self.by_value = p.plan.values
         rows = p.task.df.select(item_array(p).alias("items"), *p.task.target.columns(p.task.df.schema))
         sums_only = all(how == "sum" for _, how in self.measures.values())
         self.wide = WIDE <= len(p.selectors) <= WIDEST and not self.by_value and p.task.target.kind != "line"

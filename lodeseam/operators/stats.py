@@ -21,12 +21,24 @@ DIGITS = 38
 
 @dataclass(frozen=True)
 class Plan:
-    """Which figures of a numeric target a measure reads: centre and direction of the excess, and extras."""
+    """Which figures of a numeric target a measure reads: centre and direction of the excess, and extras.
+
+    The median and the ordered bounds, one for each of the powers in `orders`, need all values of a cover.
+    """
 
     centre: float = 0.0
     sign: int = 1
-    power: float = 1.0
-    values: frozenset[str] = frozenset()  # of {"median", "order"}: figures that need all values of a cover
+    orders: frozenset[float] = frozenset()
+    median: bool = False
+
+    @property
+    def values(self) -> bool:
+        return self.median or bool(self.orders)
+
+
+def order_name(a: float) -> str:
+    """The column of the ordered bound for the power `a`."""
+    return f"order_bound_{a!r}".replace(".", "_").replace("-", "_")
 
 
 def scale_of(constants: Constants) -> int:
@@ -62,14 +74,14 @@ def merged(measures: dict[str, tuple[Column, str]]) -> list[Column]:
 def value_measures(plan: Plan) -> list[Column]:
     """Aggregates over the values `_t` of a cover that cannot be merged from parts."""
     out = []
-    if "median" in plan.values:
+    if plan.median:
         out.append(F.median("_t").alias("median"))
-    if "order" in plan.values:
+    for a in sorted(plan.orders):
         ranked = F.reverse(F.array_sort(F.collect_list(F.lit(float(plan.sign)) * F.col("_t"))))
         start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("j"), F.lit(None).cast("double").alias("best"))
-        bound = lambda run, j: F.pow(j, F.lit(plan.power)) * (run / j - F.lit(plan.sign * plan.centre))
-        step = lambda acc, x: F.struct((acc["run"] + x).alias("run"), (acc["j"] + 1).alias("j"), F.greatest(acc["best"], bound(acc["run"] + x, acc["j"] + 1)).alias("best"))
-        out.append(F.aggregate(ranked, start, step, lambda acc: acc["best"]).alias("order_bound"))
+        bound = lambda run, j: F.pow(j, F.lit(a)) * (run / j - F.lit(plan.sign * plan.centre))  # noqa: B023, E731
+        step = lambda acc, x: F.struct((acc["run"] + x).alias("run"), (acc["j"] + 1).alias("j"), F.greatest(acc["best"], bound(acc["run"] + x, acc["j"] + 1)).alias("best"))  # noqa: B023, E731
+        out.append(F.aggregate(ranked, start, step, lambda acc: acc["best"]).alias(order_name(a)))
     return out
 
 
