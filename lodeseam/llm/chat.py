@@ -9,6 +9,8 @@ Places inside a conversation come from counts of turn ranges, so one conversatio
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,9 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", whole_text().alias("_text"))
     users = rows.where("role = 'user'").select("conv_id", "turn", identifier(F.col("turn")).alias("call_id"), F.when(F.col("turn") >= 2, identifier(F.col("turn") - 2)).alias("_after"), "_text")
     known = users.select(F.col("call_id").alias("_after")).where("_after is not null").distinct().withColumn("_known", F.lit(True))
-    users = users.join(known, "_after", "left").withColumn("_after", F.when(F.col("_known"), F.col("_after")))
+    first = users.where("_after is null").select("conv_id", "turn", "call_id", "_after", "_text")  # not joined: all of one key, null
+    later = users.where("_after is not null").join(known, "_after", "left")
+    users = first.union(later.select("conv_id", "turn", "call_id", F.when(F.col("_known"), F.col("_after")).alias("_after"), "_text"))
     arguments = F.to_json(F.struct(F.col("_text").alias("prompt"), F.col("turn").alias("turn"), F.col("_after").alias("after")))
     calls = users.select("conv_id", "turn", "call_id", F.lit("reply").alias("name"), arguments.alias("arguments"), F.array_compact(F.array("_after")).alias("depends_on"))
     others = rows.where("role <> 'user' or role is null")
@@ -65,19 +69,23 @@ def placed(calls: DataFrame, order: str) -> DataFrame:
     return joined.withColumn("position", F.col("_before") + F.col("_inside")).drop("_part", "_conv", "_of", "_before", "_inside")
 
 
-def levels(calls: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(call_id, level) of the calls that are on no cycle and behind none; level 0 depends on nothing known."""
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level) of the calls that are on no cycle and behind none; level 0 depends on nothing known.
+
+    One round of joins for each level of the deepest chain; only calls of conversations whose turns are not in
+    order already come here.
+    """
     edges = calls.select("call_id", F.explode("depends_on").alias("parent")).join(calls.select(F.col("call_id").alias("parent")), "parent").distinct()
     open_ = checkpointed(edges)
     done = checkpointed(calls.select("call_id").join(edges.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0).cast("long")))
-    for level in range(1, most_rounds):
+    for level in itertools.count(1):
         waits = checkpointed(open_.join(done.select(F.col("call_id").alias("parent")), "parent", "left_anti"))
         new = open_.select("call_id").distinct().join(waits.select("call_id").distinct(), "call_id", "left_anti")
         new = checkpointed(new.join(done.select("call_id"), "call_id", "left_anti").withColumn("level", F.lit(level).cast("long")))
         if new.isEmpty():
             return done
         done, open_ = done.union(new), waits
-    raise RuntimeError("the calls depend on each other too deeply")
+    raise AssertionError("not reached")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame:
