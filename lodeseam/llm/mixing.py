@@ -57,11 +57,12 @@ def training_time(share: Column, knots: tuple[tuple[float, float], ...]) -> Colu
 def mix_sources(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, range_rows: int = RANGE_ROWS, repeats: int = MOST_REPEATS
 ) -> DataFrame:
-    """`id_col`, size, source_size, target, taken and position of every row, sorted by position.
+    """`id_col`, size, source_size, target, taken, position and positions of every row, sorted by position.
 
     size counts words; a null or wordless text has size 0 and nothing of it is taken. A null source is a
     source like any other, after all others. taken counts repeats and is cut in the one document where the
-    source's target is reached. position is the training time (0 .. 1) of the first use, null when unused. Identical rows are interchangeable; an empty table gives no rows; other columns are not read.
+    source's target is reached. position is the training time (0 .. 1) of the first use, null when unused;
+    positions has that of every use, the last of which may be cut. Identical rows are interchangeable; an empty table gives no rows; other columns are not read.
     """
     slim = checkpointed(df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long").alias("size")))
     ranges = pieces(slim.count(), range_rows)
@@ -76,9 +77,14 @@ def mix_sources(
     rows = slim.join(parts, slim["source"].eqNullSafe(parts["source"]) & (slim["_range"] == parts["_range"])).select("_id", "size", "source_size", "target", "_class", (F.col("_before") + F.col("_inside")).alias("_at"))
     left = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("source_size") * k - F.col("_at")))
     taken = sum((left(k) for k in range(1, repeats)), left(0))
-    share = F.try_divide(F.col("_at").cast("double"), F.col("target"))
-    time = F.lit(None).cast("double")
-    for k, knots in enumerate(SCHEDULES):
-        time = F.when(F.col("_class") == k, training_time(share, knots)).otherwise(time)
-    out = rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), time.alias("_time"))
-    return out.select(id_col, "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("_time")).alias("position")).orderBy(F.col("position").asc_nulls_last(), id_col)
+
+    def at(k: int) -> Column:
+        """The training time of use `k`: where the source's demand reaches the row for the (k + 1)th time."""
+        share, time = F.try_divide((F.col("_at") + F.col("source_size") * k).cast("double"), F.col("target")), F.lit(None).cast("double")
+        for c, knots in enumerate(SCHEDULES):
+            time = F.when(F.col("_class") == c, training_time(share, knots)).otherwise(time)
+        return time
+
+    uses = F.array_compact(F.array(*[F.when(left(k) > 0, at(k)) for k in range(repeats)]))
+    out = rows.select(F.col("_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), uses.alias("positions"))
+    return out.select(id_col, "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions").orderBy(F.col("position").asc_nulls_last(), id_col)

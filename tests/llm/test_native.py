@@ -175,6 +175,8 @@ def test_mixing(docs, rows, empty):
         s = source[r.doc_id]
         assert r.source_size == size[s] and r.target == pytest.approx(target[s])
         assert 0 <= r.taken <= 3 * r.size and (r.position is None) == (r.taken == 0)
+        assert len(r.positions) == (-(-r.taken // r.size) if r.size else 0) and r.positions == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions)
+        assert not r.positions or r.positions[0] == r.position
         taken[s] += r.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in size)
     assert len(got) == len(rows)
