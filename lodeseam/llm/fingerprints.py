@@ -20,6 +20,8 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from lodeseam.llm.base import checkpointed, pieces, whole_text
 from lodeseam.llm.tokens import released, slices
@@ -65,6 +67,18 @@ def _bucket(limits: list, of: Column) -> Column:
     return F.when(of.isNull(), 0).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(limits)).alias("hi")), step, lambda s: s["lo"]))
 
 
+def _limits(ids: DataFrame, parts: int, numeric: bool) -> list:
+    """At most parts - 1 identifiers that occur, ascending: quantiles of numbers, else those of the least hashes."""
+    parts = min(MOST_BUCKETS, parts)
+    if parts < 2:
+        return []
+    if numeric:
+        cuts = ids.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] or []
+    else:
+        cuts = [r[0] for r in ids.where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(parts - 1).collect()]  # MOST_BUCKETS rows at most
+    return sorted(set(cuts))
+
+
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, likenesses, and the group of equal canonical texts.
 
@@ -77,9 +91,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
     ids = df.select(F.col(id_col).alias("_id"))
     n, top = ids.agg(F.count(F.lit(1)), F.max("_id")).first()
-    parts = min(MOST_BUCKETS, pieces(n, bucket_rows))
-    cuts = ids.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else []
-    limits = sorted(set(cuts or []))
+    limits = _limits(ids, pieces(n, bucket_rows), isinstance(df.schema[id_col].dataType, NumericType))
 
     prints = checkpointed(fingerprints(docs, "_id", "_text"))
     several = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
@@ -122,7 +134,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out = []
 
     fields = pa.schema([
-        ("_id", part_type(kind)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+        ("_id", to_arrow_type(df.schema[id_col].dataType)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
         ("near_edited", pa.float64()), ("near_next", pa.float64()), ("_sha", pa.string()), ("_packed", pa.binary()),
     ])
     made = dealt.mapInArrow(run, f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, _sha string, _packed binary")
@@ -130,7 +142,3 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = made.where("_packed is null").drop("_sha", "_packed").withColumns({"group_id": F.col("_id"), "copies": F.lit(1).cast("long")})
     more = made.where("_packed is not null").drop("_packed").join(grouped, ["fingerprint", "_sha"]).select(*one.columns)
     return one.union(more).withColumnRenamed("_id", id_col)
-
-
-def part_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

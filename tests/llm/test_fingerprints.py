@@ -47,3 +47,18 @@ def test_against_brute_force(docs, rows, empty, spark):
 def test_canonical_form():
     assert fp.canonical("  Ｓtraße ﬁ\n") == "strasse fi".encode()
     assert fp.fingerprint("A  b") == fp.fingerprint("a B") != fp.fingerprint("ab")
+
+
+def test_identifiers_of_other_types(spark):
+    texts = [f"text number {i % 7} é" for i in range(40)]
+    for kind, ids in (("string", [f"k{i:03d}" for i in range(40)]), ("smallint", list(range(40))), ("date", None)):
+        df = spark.createDataFrame(list(zip(ids or range(40), texts)), f"doc_id {kind if ids else 'int'}, text string")
+        df = df if ids else df.selectExpr("date_add(date'2020-01-01', doc_id) as doc_id", "text")
+        assert fp.fingerprint_edits(df, bucket_rows=9).schema["doc_id"].dataType.simpleString() == kind
+        got_rows = {r.doc_id: r for r in fp.fingerprint_edits(df, bucket_rows=9).collect()}
+        order = sorted(got_rows, reverse=True)
+        plain = {r.doc_id: r.text for r in df.collect()}
+        for k, i in enumerate(order):
+            nxt, t = plain[order[(k + 1) % 40]], plain[i]
+            edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+            assert got_rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got_rows[i].copies == texts.count(t)
