@@ -31,7 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lodeseam-checkpoints"))
+        given = sc.getConf().get("spark.checkpoint.dir")
+        if not given and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "lodeseam-checkpoints"))
     return sc.getCheckpointDir()
 
 
