@@ -28,11 +28,15 @@ def power(base: Column, a: float) -> Column:
 
 
 class Measure:
-    """`targets` it fits, `safe` if its estimate may prune, `whole` if it needs all statistics of the lattice."""
+    """`targets` it fits, `safe` if its estimate may prune, `whole` if it needs all statistics of the lattice.
+
+    `reads` names the row measures its quality and estimate use, besides counts; None stands for all.
+    """
 
     targets: tuple[str, ...] = ANY
     safe = False
     whole = False
+    reads: tuple[str, ...] | None = None
 
     def plan(self, c: Constants) -> Plan:
         return Plan(c.mean or 0.0)
@@ -131,6 +135,10 @@ class StandardNumeric(Measure):
     def safe(self) -> bool:
         return self.a >= 0 and (self.estimator == "order" or self.a <= 1)
 
+    @property
+    def reads(self) -> tuple[str, ...]:
+        return ("total",) + {"sum": ("excess",), "order": ()}.get(self.estimator, ("tail_n", "tail_max"))
+
     def plan(self, c: Constants) -> Plan:
         return Plan(c.mean or 0.0, -1 if self.invert else 1, frozenset({self.a} if self.estimator == "order" else ()))
 
@@ -337,6 +345,7 @@ class Custom(Measure):
     bound: Callable[[Constants], Column] | None = None
     targets: Sequence[str] = ANY
     safe: bool = False
+    reads = None
 
     def quality(self, c: Constants) -> Column:
         return self.of(c)

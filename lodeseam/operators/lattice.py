@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,18 +27,31 @@ from lodeseam.operators.stats import intercept, merged, row_measures, slope, val
 from lodeseam.plans.task import Prepared
 
 
-def item_array(p: Prepared) -> Column:
-    """Ascending numbers of the selectors a row satisfies.
-
-    The equalities of one attribute are neighbours and exclude each other, so several of them are one lookup.
-    """
-    schema = p.task.df.schema
-    flags, i = [], 0
+def selector_groups(p: Prepared) -> tuple[list[list[int]], list[int]]:
+    """The selectors as runs of equalities that one value of an attribute decides, and all others."""
+    schema, runs, others, i = p.task.df.schema, [], [], 0
     while i < len(p.selectors):
         same = [i]
         while isinstance(p.selectors[i], Equality) and same[-1] + 1 < len(p.selectors) and _alike(p.selectors[i], p.selectors[same[-1] + 1]):
             same.append(same[-1] + 1)
         if len(same) > 2 and kind_of(schema, p.selectors[i].attribute) == value_kind(p.selectors[i].value):
+            runs.append(same)
+        else:
+            others += same
+        i = same[-1] + 1
+    return runs, others
+
+
+def item_array(p: Prepared) -> Column:
+    """Ascending numbers of the selectors a row satisfies.
+
+    The equalities of one attribute are neighbours and exclude each other, so several of them are one lookup.
+    """
+    schema, (runs, others) = p.task.df.schema, selector_groups(p)
+    flags = []
+    for same in sorted([*runs, *([j] for j in others)]):
+        i = same[0]
+        if len(same) > 2:
             key = F.lit(p.selectors[i].value) if value_kind(p.selectors[i].value) != "numeric" else None
             value = lambda j: F.lit(p.selectors[j].value) if key is not None else F.lit(float(p.selectors[j].value))
             given = F.col(f"`{p.selectors[i].attribute}`") if key is not None else F.col(f"`{p.selectors[i].attribute}`").cast("double")
@@ -45,7 +59,6 @@ def item_array(p: Prepared) -> Column:
             flags.append(F.when(given.isNotNull(), F.element_at(table, given)))
         else:
             flags += [F.when(p.selectors[j].column(schema), F.lit(j)) for j in same]
-        i = same[-1] + 1
     chunks = [F.array_compact(F.array(*flags[i : i + 64])) for i in range(0, len(flags), 64)]
     return F.concat(*chunks) if len(chunks) > 1 else chunks[0]
 
@@ -65,24 +78,22 @@ class Lattice:
         self.p = p
         self.measures = row_measures(p.task.target, p.constants, p.plan)
         self.by_value = p.plan.values
-        rows = p.task.df.select(item_array(p).alias("items"), *p.task.target.columns(p.task.df.schema))
         sums_only = all(how == "sum" for _, how in self.measures.values())
         self.wide = WIDE <= len(p.selectors) <= WIDEST and not self.by_value and p.task.target.kind != "line"
         self.pairs_as_product = self.wide and sums_only
+        rows = p.task.df.select(item_array(p).alias("items"), *p.task.target.columns(p.task.df.schema))
         if self.by_value or self.wide:
-            rows = rows.select("items", *[c.alias(n) for n, (c, _) in self.measures.items()], *(["_t"] if self.by_value else []))
-        if self.wide:
-            self.rows = rows
-        elif self.by_value:
-            self.rows = rows
+            self.rows = rows.select("items", *[c.alias(n) for n, (c, _) in self.measures.items()], *(["_t"] if self.by_value else []))
         else:
             aggregated = [(F.max(c) if how == "max" else F.sum(c)).alias(n) for n, (c, how) in self.measures.items()]
             self.rows = rows.groupBy("items").agg(*aggregated)
-        self.rows = self.rows.persist()
+        if not self.wide:  # there the table itself is read, column by column, for each product
+            self.rows = self.rows.persist()
         self.kept = [c for c in self.rows.columns if c != "items"]
 
     def close(self) -> None:
-        self.rows.unpersist()
+        if not self.wide:
+            self.rows.unpersist()
 
     def unfolded(self) -> DataFrame:
         """(t, rest, ...): the empty subset of every pattern."""
@@ -110,53 +121,57 @@ class Lattice:
         """Statistics of every pair and single (no parents), or of every parent with one selector added.
 
         Sums only; a maximum is null here. Counts are exact; sums of numbers are taken in doubles inside a
-        batch and exactly between batches.
+        task and exactly between tasks. A child of several parents comes from the first of them.
         """
-        size = len(self.p.selectors)
-        sums = [n for n, (_, how) in self.measures.items() if how == "sum"]
-        given = None if parents is None else [list(t) for t in parents]
-        whole = {n: n in ("n", "p", "tail_n") for n in sums}
-        rows = self.rows.select("items", *[F.col(n).cast("double").alias(n) for n in sums])
+        size, schema, reads = len(self.p.selectors), self.p.task.df.schema, self.p.task.measure.reads
+        sums = [n for n, (_, how) in self.measures.items() if how == "sum" and (reads is None or n in ("n", "p", *reads))]
+        whole = [n for n in sums if n in ("n", "p", "tail_n")]
+        real = [n for n in sums if n not in whole]
+        runs, others = selector_groups(self.p)
+        texts = [value_kind(self.p.selectors[same[0]].value) != "numeric" for same in runs]
+        values = [[self.p.selectors[j].value if t else float(self.p.selectors[j].value) for j in same] for same, t in zip(runs, texts, strict=True)]
+        own = [F.col(f"`{self.p.selectors[same[0]].attribute}`") if t else F.col(f"`{self.p.selectors[same[0]].attribute}`").cast("double") for same, t in zip(runs, texts, strict=True)]
+        given = [*own, *(self.p.selectors[j].column(schema) for j in others)]
+        n_given = len(given)
+        rows = self.p.task.df.select(*[c.alias(f"_g{k}") for k, c in enumerate(given)], *self.p.task.target.columns(schema))
+        rows = rows.select(*[f"_g{k}" for k in range(n_given)], *[self.measures[n][0].cast("double").alias(n) for n in [*whole, *real]])
+        first, keep = (None, np.triu(np.ones((size, size), bool))) if parents is None else ([list(t) for t in parents], _owned(parents, size))
+
+        def matrix(batch: pa.RecordBatch) -> np.ndarray:
+            """The 0/1 rows by selectors."""
+            at = np.arange(batch.num_rows)
+            x = np.zeros((batch.num_rows, size + 1), np.float64 if real else np.float32)
+            for k, same in enumerate(runs):
+                place = pc.index_in(batch.column(k), value_set=pa.array(values[k], batch.column(k).type)).fill_null(len(same))
+                x[at, np.array([*same, size])[place.to_numpy(zero_copy_only=False)]] = 1
+            for k, j in enumerate(others, len(runs)):
+                x[:, j] = batch.column(k).to_numpy(zero_copy_only=False)
+            return x[:, :size]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            done = None
             for batch in batches:
-                lists, n = batch.column(0), batch.num_rows
-                x = np.zeros((n, size), np.float32)
-                x[np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
-                left = x if given is None else np.stack([x[:, t].all(axis=1) if t else np.ones(n, bool) for t in given], axis=1).astype(np.float32)
-                parts = []
-                for k, name in enumerate(sums, 1):
-                    w = batch.column(k).to_numpy(zero_copy_only=False)
-                    if whole[name]:
-                        parts.append((left.T @ (x * w[:, None].astype(np.float32))).astype(np.float64))
-                    else:
-                        parts.append((left * w[:, None]).T @ x.astype(np.float64))
-                total = parts if total is None else [a + b for a, b in zip(total, parts, strict=True)]
-            if total is None:
-                return
-            a, b = np.nonzero(total[0])
-            if given is None:
-                a, b = a[a <= b], b[a <= b]
-                items = [[i] if i == j else [i, j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            else:
-                fresh = np.array([j not in given[i] for i, j in zip(a.tolist(), b.tolist(), strict=True)], bool)
-                a, b = a[fresh], b[fresh]
-                items = [sorted([*given[i], j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.int32())), *(pa.array(t[a, b]) for t in total)], ["items", *sums])
-
-        made = rows.mapInArrow(run, "items array<int>, " + ", ".join(f"{n} double" for n in sums))
-        if given is not None:  # a child of several parents came once from each
-            spread = {tuple(sorted([*t, j])) for t in given for j in range(size) if j not in t}
-            times = {c: sum(1 for t in given if set(t) < set(c)) for c in spread}
-            if any(v > 1 for v in times.values()):
-                many = F.create_map(*[x for c, v in times.items() if v > 1 for x in (F.lit("-".join(map(str, c))), F.lit(v))])
-                made = made.withColumn("_times", F.coalesce(F.element_at(many, F.concat_ws("-", F.transform("items", lambda i: i.cast("string")))), F.lit(1)))
-                made = made.select("items", *[(F.col(n) / F.col("_times")).alias(n) for n in sums])
-        exact = self.rows.schema
-        out = made.groupBy("items").agg(*[F.sum(F.round(n).cast("long") if whole[n] and given is None else F.col(n).cast("decimal(38,15)")).alias(n) for n in sums])
-        out = out.select("items", *[F.round(n).cast("long").alias(n) if whole[n] else F.col(n) for n in sums])
-        return out.select("items", *[F.col(n) if n in sums else F.lit(None).cast(exact[n].dataType).alias(n) for n in self.measures])
+                weights = [batch.column(n_given + k).to_numpy(zero_copy_only=False) for k in range(len(sums))]
+                x = matrix(batch)
+                left = x if first is None else np.stack([x[:, t].all(axis=1) if t else np.ones(len(x), bool) for t in first], axis=1).astype(x.dtype)
+                got = []
+                for name, w in zip([*whole, *real], weights, strict=True):
+                    some = slice(None) if name == "n" else np.flatnonzero(w)
+                    own = left[some] if name in ("n", "p", "tail_n") else left[some] * w[some, None].astype(x.dtype)
+                    got.append((own.T @ x[some]).astype(np.float64))
+                done = got if done is None else [a + b for a, b in zip(done, got, strict=True)]
+            if done is not None:
+                a, b = np.nonzero((done[0] > 0) & keep)
+                if first is None:
+                    items = [[i] if i == j else [i, j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                else:
+                    items = [sorted([*first[i], j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.int32())), *(pa.array(t[a, b]) for t in done)], ["items", *whole, *real])
+
+        made = rows.mapInArrow(run, "items array<int>, " + ", ".join(f"{n} double" for n in [*whole, *real]))
+        out = made.groupBy("items").agg(*[F.sum(F.col(n).cast("long")).alias(n) for n in whole], *[F.sum(F.col(n).cast("decimal(38,15)")).alias(n) for n in real])
+        types = {n: "decimal(38,15)" if n in real else "long" for n in sums}
+        return out.select("items", *[F.col(n) if n in types else F.lit(None).cast("double").alias(n) for n in self.measures])
 
     def extensions(self, parents: list[tuple[int, ...]]) -> DataFrame:
         """Statistics of every parent with one selector added, anywhere; each row counts once per child."""
@@ -216,6 +231,18 @@ class Lattice:
         return out.withColumn("likelihood_sg", F.try_divide("inside", "n")).withColumn("likelihood_complement", F.try_divide(F.col("outside"), F.lit(p.constants.n) - F.col("n"))).drop("inside", "outside")
 
 
+def _owned(parents: list[tuple[int, ...]], size: int) -> np.ndarray:
+    """Which (parent, selector) make a child that no parent before makes."""
+    keep, seen = np.zeros((len(parents), size), bool), set()
+    for i, t in enumerate(parents):
+        for j in range(size):
+            child = frozenset((*t, j))
+            if j not in t and child not in seen:
+                seen.add(child)
+                keep[i, j] = True
+    return keep
+
+
 def _chosen(mask: Column) -> Column:
     """The members of `items` at the set bits of `mask`."""
     return F.filter("items", lambda x, i: (F.floor(mask / F.pow(F.lit(2), i)) % 2) == 1)

@@ -14,7 +14,8 @@ from lodeseam.errors import ValidationError
 from lodeseam.functions.dialect import print_conjunction, print_selector
 from lodeseam.functions.scalars import normal_density
 from lodeseam.functions.selectors import Conjunction, Disjunction, Equality, Interval, IsNull, Negated, Selector, equality, kind_of
-from lodeseam.operators.stats import intercept, numeric_aggregates, slope
+from lodeseam.operators.stats import intercept, slope
+from lodeseam.operators.targets import medians
 from lodeseam.plans.task import Prepared
 from lodeseam.sources.table import RID, csv_text
 
@@ -94,14 +95,30 @@ def counted_table(p: Prepared, n: int, positives: int | None) -> dict:
 
 def full_tables(p: Prepared, descriptions: list) -> list[dict]:
     schema, target = p.task.df.schema, p.task.target
-    rows = p.task.df.select(*[d.column(schema).alias(f"_d{i}") for i, d in enumerate(descriptions)], *target.columns(schema))
-    inside = [F.col(f"_d{i}") for i in range(len(descriptions))]
     if target.kind == "numeric":
-        got = rows.agg(*[F.struct(*[c.alias(k) for k, c in numeric_aggregates(d, F.col("_t")).items()]).alias(f"r{i}") for i, d in enumerate(inside)])
-    else:
-        got = _lines(rows, inside)
-    first = got.first()
-    return [first[f"r{i}"].asDict() for i in range(len(inside))]
+        return _numbers(p, descriptions)
+    rows = p.task.df.select(*[d.column(schema).alias(f"_d{i}") for i, d in enumerate(descriptions)], *target.columns(schema))
+    first = _lines(rows, [F.col(f"_d{i}") for i in range(len(descriptions))]).first()
+    return [first[f"r{i}"].asDict() for i in range(len(descriptions))]
+
+
+def _numbers(p: Prepared, descriptions: list) -> list[dict]:
+    """numeric_aggregates() of every description from one aggregation by description; the table's figures are at hand."""
+    c, schema = p.constants, p.task.df.schema
+    hit = F.array_compact(F.array(*[F.when(d.column(schema), F.lit(i)) for i, d in enumerate(descriptions)]))
+    rows = p.task.df.select(F.explode(hit).alias("i"), *p.task.target.columns(schema)).persist()
+    found = {r.i: r for r in rows.groupBy("i").agg(F.count(F.lit(1)).alias("size"), *[f("_t").alias(k) for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("min", F.min))]).collect()}  # k rows
+    middle = medians(rows, [(found[i]["size"], found[i]["min"], found[i]["max"]) if i in found else (0, None, None) for i in range(len(descriptions))])
+    rows.unpersist()
+    base, out = {"mean": c.mean, "std": c.std, "median": c.median, "max": c.high, "min": c.low}, []
+    for i in range(len(descriptions)):
+        own = (found[i].asDict() if i in found else dict.fromkeys(base)) | {"median": middle[i]}
+        table = {"size_sg": own.get("size", 0), "size_dataset": c.n}
+        for k, of in base.items():
+            table |= {f"{k}_sg": own[k], f"{k}_dataset": of}
+        lift = lambda k: own[k] / base[k] if own[k] is not None and base[k] else None  # noqa: B023, E731
+        out.append(table | {"mean_lift": lift("mean"), "median_lift": lift("median")})
+    return out
 
 
 def _lines(rows: DataFrame, inside: list[Column]) -> DataFrame:
