@@ -34,6 +34,7 @@ RETURNED, URGENT, TOXIC = binary("l_returnflag", "R"), binary("o_orderpriority",
 
 SHOPPING = "SELECT o_orderstatus, o_orderpriority, c_mktsegment, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey"
 LABELLED = "SELECT documents.doc_id, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"
+COUNTS_ONLY = {"n": "count(*)"}
 COUNTS, SHARES = {"n": "count(*)", "p": "sum(CASE WHEN {y} THEN 1 ELSE 0 END)"}, {"nn": "count(*)", "pp": "sum(CASE WHEN {y} THEN 1 ELSE 0 END)"}
 
 
@@ -95,6 +96,14 @@ LIFT = "1.0::DOUBLE * (p / n::DOUBLE - pp / nn::DOUBLE)"
 CELLS = "+".join(f"(({o}) - ({e})) * (({o}) - ({e})) / nullif({e}, 0)" for o, e in (("p", "pp * n / nn::DOUBLE"), ("pp - p", "pp * (nn - n) / nn::DOUBLE"), ("n - p", "(nn - pp) * n / nn::DOUBLE"), ("nn - n - (pp - p)", "(nn - pp) * (nn - n) / nn::DOUBLE")))
 CHI2 = f"CASE WHEN n < 5 OR nn - n < 5 THEN '-infinity'::DOUBLE WHEN p / n::DOUBLE > pp / nn::DOUBLE THEN {CELLS} ELSE -({CELLS}) END"
 
+
+def tail_sql(x: str) -> str:
+    """P(chi-squared of one degree > x) by the power series of the lower incomplete gamma function."""
+    return f"(CASE WHEN {x} <= 0 THEN 1.0::DOUBLE WHEN {x} > 400 THEN 0.0::DOUBLE ELSE 1 - list_sum(list_transform(range(0, 500), lambda j: exp((j + 0.5) * ln(({x}) / 2) - ({x}) / 2 - lgamma(j + 1.5)))) END)"
+
+
+P_VALUE = f"CASE WHEN n < 5 OR nn - n < 5 THEN '-infinity'::DOUBLE WHEN p / n::DOUBLE < pp / nn::DOUBLE THEN {tail_sql(f'({CELLS})')} ELSE -{tail_sql(f'({CELLS})')} END"
+
 add("search_wracc_apriori", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), WRACC, R_IS, engine="apriori")
 add("search_wracc_depth3", "orders", ORDER, URGENT, tuple(s for s in ORDERS if s.attribute != "o_orderpriority"), M.wracc(), WRACC, URGENT_IS, engine="apriori", depth=3)
 add("search_exhaustive", "lineitem", LINEITEM, RETURNED, LINES, M.Standard(0.5), BINOMIAL, R_IS, engine="exhaustive")
@@ -103,7 +112,7 @@ add("search_best_first", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), WRACC
 add("search_pattern_tree", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), WRACC, R_IS, engine="pattern_tree", above=0.0)
 add("search_lift_support", "lineitem", LINEITEM, RETURNED, LINES, M.lift(), LIFT, R_IS, support=200)
 add("search_chi2_positive", "lineitem", LINEITEM, RETURNED, LINES, M.ChiSquared("positive"), CHI2, R_IS)
-add("search_chi2_p_value", "lineitem", LINEITEM, RETURNED, LINES, M.ChiSquared("negative", stat="p_value"), None)
+add("search_chi2_p_value", "lineitem", LINEITEM, RETURNED, LINES, M.ChiSquared("negative", stat="p_value"), P_VALUE, R_IS)
 add("search_join", shopping, SHOPPING, URGENT, SHOPPERS, M.wracc(), WRACC, URGENT_IS)
 add("search_missing_values", labelled, LABELLED, TOXIC, DOCS, M.simple_binomial(), BINOMIAL, TOXIC_IS, k=20)
 add("search_combined", "lineitem", LINEITEM, RETURNED, LINES, M.combined((M.wracc(), 1.0), (M.lift(), 2.0)), f"0.0::DOUBLE + 1.0::DOUBLE * ({WRACC}) + 2.0::DOUBLE * ({LIFT})", R_IS)
@@ -111,6 +120,14 @@ add("search_disjunctions", "orders", ORDER, URGENT, tuple(s for s in ORDERS if s
 add("search_count_itemsets", "part", "SELECT * FROM part", Itemsets(), PARTS, M.Count(), "n::DOUBLE", engine="pattern_tree", above=0.0)
 add("search_area_itemsets", "part", "SELECT * FROM part", Itemsets(), PARTS, M.Area(2), "(n * depth)::DOUBLE", engine="apriori", above=0.0)
 add("search_beam", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), None, engine="beam", depth=3, width=20)
+_order = "quality DESC, depth, a, b NULLS FIRST, c NULLS FIRST"
+_sub = lambda x, y: f"EXISTS (SELECT 1 FROM beam2 WHERE beam2.a = s.{x} AND beam2.b = s.{y})"
+ORACLE["search_beam"] = (
+    sql.lattice(LINEITEM, LINES, fill(COUNTS, R_IS), 3, fill(SHARES, R_IS)) + f", s AS (SELECT *, {WRACC} AS quality FROM stats, whole), beam1 AS (SELECT * FROM s WHERE depth = 1 ORDER BY {_order} LIMIT 20), "
+    f"beam2 AS (SELECT * FROM (SELECT * FROM beam1 UNION ALL SELECT * FROM s WHERE depth = 2 AND (a IN (SELECT a FROM beam1) OR b IN (SELECT a FROM beam1))) ORDER BY {_order} LIMIT 20), "
+    f"beam3 AS (SELECT * FROM (SELECT * FROM beam2 UNION ALL SELECT * FROM s WHERE depth = 3 AND ({_sub('a', 'b')} OR {_sub('a', 'c')} OR {_sub('b', 'c')})) ORDER BY {_order} LIMIT 10) "
+    f"SELECT CAST(row_number() OVER (ORDER BY {_order}) AS INTEGER) AS rank, key, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS size, round(quality, 9) AS quality FROM beam3"
+)
 add("search_beam_wide", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), WRACC, R_IS, engine="beam", width=500)
 
 EXACT = {"total": "sum(o_totalprice::DECIMAL(38,6))"}
@@ -131,7 +148,10 @@ add("search_ga_standard", "lineitem", LINEITEM, RETURNED, LINES, M.GaStandard(1.
 ORACLE["search_ga_standard"] = sql.ranked(ONE, "(n / nn::DOUBLE) * (p / n::DOUBLE - greatest(pp / nn::DOUBLE, coalesce(up / un::DOUBLE, 0), coalesce(vp / vn::DOUBLE, 0)))", 10, source=UP)
 add("search_ga_standard_max", "lineitem", LINEITEM, RETURNED, LINES, M.GaStandard(0.5, "max"), None)
 ORACLE["search_ga_standard_max"] = sql.ranked(ONE, "sqrt(n / nn::DOUBLE) * (p / n::DOUBLE - greatest(pp / nn::DOUBLE, coalesce(up / un::DOUBLE, 0), coalesce(vp / vn::DOUBLE, 0)))", 10, source=UP)
-add("search_ga_numeric", "orders", ORDER, Numeric(PRICE), ORDERS, M.GaStandardNumeric(1.0), None)
+add("search_ga_numeric", "orders", ORDER, Numeric(PRICE), ORDERS, M.GaStandardNumeric(1.0), None, places=3)
+_centred = sql.lattice(ORDER, ORDERS, COUNTS_ONLY | EXACT, 2, {"nn": "count(*)"} | MEAN) + ", one AS (SELECT *, total::DOUBLE / n AS own FROM stats, whole)"
+_above = "one LEFT JOIN (SELECT a AS ua, own AS uo FROM one WHERE depth = 1) AS u1 ON one.depth = 2 AND u1.ua = one.a LEFT JOIN (SELECT a AS va, own AS vo FROM one WHERE depth = 1) AS u2 ON one.depth = 2 AND u2.va = one.b"
+ORACLE["search_ga_numeric"] = sql.ranked(_centred, "(n / nn::DOUBLE) * (own - CASE WHEN depth = 1 THEN mean WHEN greatest(mean, uo) >= greatest(mean, vo) THEN uo ELSE vo END)", 10, source=_above, places=3)
 LIKE = canonical([*(Equality("l_returnflag", x) for x in "ANR"), *(Equality("l_linestatus", x) for x in "OF")])
 add("search_line_likelihood", "lineitem", LINEITEM, Line("l_discount", "l_tax"), LIKE, M.Likelihood(), None)
 SUMS = {"sx": "sum(l_discount)", "sy": "sum(l_tax)", "sxx": "sum(l_discount * l_discount)", "sxy": "sum(l_discount * l_tax)"}
@@ -143,6 +163,14 @@ ORACLE["search_line_likelihood_1"] = sql.ranked(
     "lik AS (SELECT fa, avg(d) FILTER (hit) - avg(d) FILTER (NOT hit) AS q FROM res GROUP BY fa)",
     "q", 10, source="fit JOIN lik ON fa = a",
 )
+_fit2 = sql.lattice(LINEITEM, LIKE, COUNTS_ONLY | SUMS, 2, {"nn": "count(*)"})
+ORACLE["search_line_likelihood"] = sql.ranked(
+    f"{_fit2}, fit AS (SELECT *, {_line} AS slope, (sy - {_line} * sx) / n AS icpt FROM stats, whole WHERE n > 2), "
+    "res AS (SELECT fit.key AS fk, exp(-0.5 * power(slope * l_discount + icpt - l_tax, 2)) / 2.5066282746310002 AS d, x.rid IS NOT NULL AND (fit.b IS NULL OR y.rid IS NOT NULL) AS hit "
+    "FROM fit CROSS JOIN src LEFT JOIN sat x ON x.i = fit.a AND x.rid = src.rid LEFT JOIN sat y ON y.i = fit.b AND y.rid = src.rid), "
+    "lik AS (SELECT fk, avg(d) FILTER (hit) - avg(d) FILTER (NOT hit) AS q FROM res GROUP BY fk)",
+    "q", 10, source="fit JOIN lik ON fk = key",
+)
 add("search_line_likelihood_1", "lineitem", LINEITEM, Line("l_discount", "l_tax"), LIKE, M.Likelihood(), None, depth=1)
 
 CELL = Conjunction([Equality("l_linestatus", "F"), Interval("l_quantity", hi=10.0)])
@@ -284,23 +312,45 @@ def synth_tie_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.tie_stress(spark)
 
 
-@query("synth_planted")
+def draw_sql(seed: int, at: str = "i") -> str:
+    return f"(('0x' || substr(md5({at} || ':{seed}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def pick_sql(values: str, seed: int) -> str:
+    """One of the letters of `values`."""
+    return f"substr('{values}', (floor({draw_sql(seed)} * {len(values)}) + 1)::INTEGER, 1)"
+
+
+PLANTED = f"SELECT i AS _rid, {pick_sql('pqr', 1)} AS a1, {pick_sql('xyz', 2)} AS a2, " + ", ".join(f"'v' || {pick_sql('012', 101 + m)} AS m{m}" for m in range(4))
+PLANTED = f"SELECT *, ({draw_sql(3, '_rid')} < CASE WHEN a1 = 'p' AND a2 = 'x' THEN 0.95 ELSE 0.25 END)::BIGINT AS y FROM ({PLANTED} FROM range(3000) AS r(i))"
+POCKET = canonical([Equality(a, v) for a, values in (("a1", "pqr"), ("a2", "xyz")) for v in values] + [Equality(f"m{m}", f"v{v}") for m in (0, 1) for v in range(3)])
+
+
+@query("synth_planted", sql.ranked(sql.lattice(PLANTED, POCKET, fill(COUNTS, "y = 1"), 2, fill(SHARES, "y = 1")), WRACC, 3, "0.0"))
 def synth_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = synth.planted_binary(spark, 3000, 1)
     sel = space.nominal_selectors(df.select("a1", "a2", "m0", "m1"))
     return listed(spark, S.apriori(Task(df, binary("y", 1), sel, M.wracc(), 3, 2, 0.0)), tuple(sel))
 
 
-@query("results_frame")
+_top8 = sql.lattice(LINEITEM, FLAGS, {"n": "count(*)"}, 1, {"nn": "count(*)"}) + ", top AS (SELECT a, n, row_number() OVER (ORDER BY n DESC, a) - 1 AS i FROM stats ORDER BY n DESC, a LIMIT 8)"
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_texts = "(VALUES " + ", ".join(f"({i}, {_quoted(dialect.print_selector(s))})" for i, s in enumerate(FLAGS)) + ") AS t(place, subgroup)"
+
+
+_flag_counts = sql.lattice(LINEITEM, FLAGS, fill(COUNTS, "l_quantity >= 25"), 1, fill(SHARES, "l_quantity >= 25"))
+_fields = ", ".join(f"round(({e})::DOUBLE, 9) AS {n}" for n, e in _binary.items())
+
+
+@query("results_frame", f"{_flag_counts} SELECT CAST(row_number() OVER (ORDER BY n DESC, a) AS INTEGER) AS rank, n::DOUBLE AS quality, 1::INTEGER AS depth, subgroup, n::DOUBLE AS estimate, {_fields} FROM stats JOIN {_texts} ON place = a, whole ORDER BY n DESC, a LIMIT 8")
 def results_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.from_json(R.to_json(_flags(spark, sf_dir))).frame(spark)
+    return rounded(R.from_json(R.to_json(_flags(spark, sf_dir))).frame(spark))
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> R.Results:
     return S.search(Task(read(spark, sf_dir, "lineitem"), Binary(Interval("l_quantity", lo=25.0)), FLAGS, M.Count(), 8, 1, 0.0))
 
 
-_top8 = sql.lattice(LINEITEM, FLAGS, {"n": "count(*)"}, 1, {"nn": "count(*)"}) + ", top AS (SELECT a, n, row_number() OVER (ORDER BY n DESC, a) - 1 AS i FROM stats ORDER BY n DESC, a LIMIT 8)"
 
 
 @query("results_overlaps", f"{_top8}, hit AS (SELECT top.i AS t, sat.rid FROM top JOIN sat ON sat.i = top.a), pairs AS (SELECT x.t AS i, y.t AS j, count(*) AS c FROM hit x JOIN hit y ON x.rid = y.rid AND x.t < y.t GROUP BY 1, 2) SELECT pairs.i::INTEGER AS i, pairs.j::INTEGER AS j, c AS \"both\", (p.n + q.n - c)::BIGINT AS either FROM pairs JOIN top p ON p.i = pairs.i JOIN top q ON q.i = pairs.j")
@@ -308,7 +358,14 @@ def results_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.overlaps(read(spark, sf_dir, "lineitem"), _flags(spark, sf_dir).entries)
 
 
-@query("results_overlap_filter")
+_listed = "SELECT CAST(row_number() OVER (ORDER BY n DESC, a) AS INTEGER) AS rank, CAST(a AS VARCHAR) AS key, 1::INTEGER AS depth, n AS size, round(n::DOUBLE, 9) AS quality FROM top"
+_near = (
+    f"{_top8}, hit AS (SELECT top.i AS t, sat.rid FROM top JOIN sat ON sat.i = top.a), pairs AS (SELECT x.t AS i, y.t AS j, count(*) AS c FROM hit x JOIN hit y ON x.rid = y.rid AND x.t < y.t GROUP BY 1, 2), "
+    "near AS (SELECT pairs.i, pairs.j FROM pairs JOIN top p ON p.i = pairs.i JOIN top q ON q.i = pairs.j WHERE c > 0.5 * (p.n + q.n - c)), kept0 AS (SELECT 0::BIGINT AS i)"
+) + "".join(f", kept{j} AS (SELECT i FROM kept{j - 1} UNION ALL SELECT {j}::BIGINT WHERE NOT EXISTS (SELECT 1 FROM near JOIN kept{j - 1} k ON k.i = near.i WHERE near.j = {j}))" for j in range(1, 8))
+
+
+@query("results_overlap_filter", f"{_near} {_listed} WHERE i IN (SELECT i FROM kept7)")
 def results_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(spark, R.overlap_filter(_flags(spark, sf_dir), 0.5), FLAGS)
 
@@ -324,7 +381,16 @@ def results_minimum_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed(spark, R.minimum_quality(_flags(spark, sf_dir), 1000.0), FLAGS)
 
 
-@query("results_unique_attributes")
+_used = "CASE " + " ".join(f"WHEN {{x}} = {i} THEN '{s.attribute}'" for i, s in enumerate(LINES)) + " ELSE '' END"
+
+
+@query(
+    "results_unique_attributes",
+    sql.lattice(LINEITEM, LINES, fill(COUNTS, R_IS), 2, fill(SHARES, R_IS)) + f", best AS (SELECT *, {WRACC} AS quality FROM stats, whole ORDER BY {_order} LIMIT 10), "
+    f"named AS (SELECT *, {_used.format(x='a')} || ',' || {_used.format(x='b')} AS used FROM best), "
+    f"firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY used ORDER BY {_order}) = 1 OR used IN ('l_linestatus,', 'l_linestatus,l_linestatus')) "
+    f"SELECT CAST(row_number() OVER (ORDER BY {_order}) AS INTEGER) AS rank, key, CAST(depth AS INTEGER) AS depth, n::BIGINT AS size, round(quality, 9) AS quality FROM firsts",
+)
 def results_unique_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem")
     return listed(spark, R.unique_attributes(S.search(Task(df, RETURNED, LINES, M.wracc(), 10, 2)), df), LINES)
@@ -345,7 +411,6 @@ FORMS = [Equality("x", 5, True), Equality("s", "it"), Equality("b", True), IsNul
 PRINTED = [
     ("x==5", "x==5"), ("s=='it'", "s=='it'"), ("b==True", "b==True"), ("s.isnull()", "s.isnull()"), ("x: [0.125:2.0[", "x: [0.12:2.0["), ("x<3", "x<3"), ("x>=1e+16", "x>=1e+16"), ("x = anything", "x = anything"), ("(not s=='a')", "NOT s=='a'"),
 ]
-_quoted = lambda t: "'" + t.replace("'", "''") + "'"
 
 
 @query("text_forms", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quoted(a)}, {_quoted(b)}, true)" for i, (a, b) in enumerate(PRINTED)) + ") AS t(place, query, display, same)")
@@ -378,7 +443,7 @@ def scalar_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("l_orderkey", "l_linenumber", F.round(scalars.normal_density(F.col("l_discount")), 12).alias("density"))
 
 
-@query("scalar_chi2_tail")
+@query("scalar_chi2_tail", f"WITH t AS (SELECT q, round({tail_sql('q')}, 12) AS p FROM (SELECT DISTINCT l_quantity AS q FROM lineitem)) SELECT l_orderkey, l_linenumber, p FROM lineitem JOIN t ON q = l_quantity")
 def scalar_chi2_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "lineitem")
     return df.select("l_orderkey", "l_linenumber", F.round(scalars.chi2_tail_column(F.col("l_quantity")), 12).alias("p"))
