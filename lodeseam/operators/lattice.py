@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodeseam.functions.scalars import normal_density
 from lodeseam.functions.selectors import Equality, Selector, kind_of, value_kind
-from lodeseam.operators.stats import intercept, merged, row_measures, slope, value_measures
+from lodeseam.operators.stats import from_values, intercept, merged, row_measures, slope
 from lodeseam.plans.task import Prepared
 
 
@@ -69,6 +69,8 @@ def _alike(a: Selector, b: Selector) -> bool:
 
 #: From this many selectors on, pairs and extensions are matrix products; up to the second, so their matrix fits.
 WIDE, WIDEST = 128, 2_048
+#: Ranges into which the values of a cover are cut where all of them are ranked, in tables of more rows than the second.
+RANGES, RANKED_AT_ONCE = 32, 5_000_000
 
 
 class Lattice:
@@ -82,11 +84,13 @@ class Lattice:
         self.wide = WIDE <= len(p.selectors) <= WIDEST and not self.by_value and p.task.target.kind != "line"
         self.pairs_as_product = self.wide and sums_only
         rows = p.task.df.select(item_array(p).alias("items"), *p.task.target.columns(p.task.df.schema))
-        if self.by_value or self.wide:
-            self.rows = rows.select("items", *[c.alias(n) for n, (c, _) in self.measures.items()], *(["_t"] if self.by_value else []))
+        if self.wide:
+            self.rows = rows.select("items", *[c.alias(n) for n, (c, _) in self.measures.items()])
         else:
             aggregated = [(F.max(c) if how == "max" else F.sum(c)).alias(n) for n, (c, how) in self.measures.items()]
-            self.rows = rows.groupBy("items").agg(*aggregated)
+            self.rows = rows.groupBy("items", *(["_t"] if self.by_value else [])).agg(*aggregated)
+        in_ranges = self.by_value and p.constants.n > RANKED_AT_ONCE
+        self.edges = sorted(set(rows.approxQuantile("_t", [i / RANGES for i in range(1, RANGES)], 0.005))) if in_ranges else []
         if not self.wide:  # there the table itself is read, column by column, for each product
             self.rows = self.rows.persist()
         self.kept = [c for c in self.rows.columns if c != "items"]
@@ -106,16 +110,22 @@ class Lattice:
 
     def statistics(self, level: DataFrame) -> DataFrame:
         """(items, measures...) of every subset in `level`."""
-        return level.groupBy(F.col("t").alias("items")).agg(*merged(self.measures), *(value_measures(self.p.plan) if self.by_value else []))
+        if not self.by_value:
+            return level.groupBy(F.col("t").alias("items")).agg(*merged(self.measures))
+        return from_values(level.groupBy(F.col("t").alias("items"), "_t").agg(*merged(self.measures)), self.measures, self.p.plan, self.edges)
 
-    def all_statistics(self, depth: int) -> DataFrame:
-        """Statistics of every non-empty-cover subset of 1 .. depth selectors, in one aggregation."""
+    def levels(self, depth: int) -> DataFrame:
+        """The subsets of 1 .. depth selectors of every pattern."""
         level = self.deeper(self.unfolded())
         union = level
         for _ in range(1, depth):
             level = self.deeper(level)
             union = union.union(level)
-        return self.statistics(union)
+        return union
+
+    def all_statistics(self, depth: int) -> DataFrame:
+        """Statistics of every non-empty-cover subset of 1 .. depth selectors, in one aggregation."""
+        return self.statistics(self.levels(depth))
 
     def products(self, parents: list[tuple[int, ...]] | None) -> DataFrame:
         """Statistics of every pair and single (no parents), or of every parent with one selector added.
@@ -202,32 +212,45 @@ class Lattice:
     def union_statistics(self, depth: int) -> DataFrame:
         """Statistics of every set's union of covers.
 
-        Sums by inclusion and exclusion over the statistics of its subsets, maxima over its members; figures
-        that need all values of a cover by unfolding each row into the sets it touches.
+        Sums by inclusion and exclusion over the statistics of its subsets, maxima over its members; where
+        all values of a cover are needed, so for every value.
         """
-        sets = self.candidates(depth)
-        if self.by_value:
-            touched = F.filter(F.col("_sets"), lambda t: F.arrays_overlap(t, "items"))
-            all_sets = sets.agg(F.collect_list("items").alias("_sets"))  # the search space itself, not data
-            return self.statistics(self.rows.crossJoin(F.broadcast(all_sets)).select(F.explode(touched).alias("t"), *self.kept))
-        stats = self.all_statistics(depth)
+        sets, value = self.candidates(depth), ["_t"] if self.by_value else []
+        stats = self.levels(depth).groupBy(F.col("t").alias("items"), *value).agg(*merged(self.measures))
         subsets = F.transform(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 1), _chosen)
         parts = sets.select("items", F.explode(subsets).alias("s")).withColumn("sign", F.when(F.size("s") % 2 == 1, 1).otherwise(-1))
         joined = parts.join(stats.withColumnRenamed("items", "s"), "s")
         mixed = [(F.max(F.when(F.size("s") == 1, F.col(n))) if how == "max" else F.sum(F.when(F.col("sign") > 0, F.col(n)).otherwise(-F.col(n)))).alias(n) for n, (_, how) in self.measures.items()]
-        return joined.groupBy("items").agg(*mixed)
+        unions = joined.groupBy("items", *value).agg(*mixed)
+        return from_values(unions, self.measures, self.p.plan, self.edges) if self.by_value else unions
 
     def likelihoods(self, stats: DataFrame) -> DataFrame:
-        """`stats` with slope, intercept and the mean residual density inside and outside each cover."""
+        """`stats` with slope, intercept and the mean residual density inside and outside each cover.
+
+        Every candidate has a line of its own, so each meets every distinct point once for the density of the
+        whole table; that of a cover comes from its own points only. Candidates that fail a monotone
+        constraint get none.
+        """
         fitted = slope(F.col("n"), *[F.col(c) for c in ("sx", "sy", "sxx", "sxy")])
         lines = stats.withColumn("slope", fitted).withColumn("intercept", intercept(F.col("n"), F.col("sx"), F.col("sy"), F.col("slope")))
         p = self.p
         points = p.task.df.select(item_array(p).alias("items"), *p.task.target.columns(p.task.df.schema)).groupBy("items", "_x", "_v").agg(F.count(F.lit(1)).alias("w"))
         density = normal_density(F.col("slope") * F.col("_x") + F.col("intercept") - F.col("_v")) * F.col("w")
-        covered = F.size(F.array_except("c", "items")) == 0 if p.form == "conjunction" else F.arrays_overlap("c", "items")
-        lit = lines.where("slope is not null").select(F.col("items").alias("c"), "slope", "intercept")
-        sums = points.join(lit, F.lit(True)).groupBy("c").agg(F.sum(F.when(covered, density)).alias("inside"), F.sum(F.when(~covered, density)).alias("outside"))
-        out = lines.join(sums.withColumnRenamed("c", "items"), "items", "left")
+        lit = lines.where(F.col("slope").isNotNull() & p.holds(True)).select(F.col("items").alias("c"), "slope", "intercept")
+        if p.form == "conjunction":
+            everywhere = points.groupBy("_x", "_v").agg(F.sum("w").alias("w")).join(lit, F.lit(True)).groupBy("c").agg(F.sum(density).alias("whole"))
+            level = points.select(F.array().cast("array<int>").alias("t"), F.col("items").alias("rest"), "_x", "_v", "w")
+            held = None
+            for _ in range(p.task.depth):
+                level = level.select("t", "rest", "_x", "_v", "w", F.posexplode("rest").alias("at", "e"))
+                level = level.select(F.concat("t", F.array("e")).alias("t"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "_x", "_v", "w")
+                held = level if held is None else held.union(level)
+            inside = held.groupBy(F.col("t").alias("c"), "_x", "_v").agg(F.sum("w").alias("w")).join(lit, "c").groupBy("c").agg(F.sum(density).alias("inside"))
+            sums = everywhere.join(inside, "c").withColumn("outside", F.col("whole") - F.col("inside"))
+        else:
+            covered = F.arrays_overlap("c", "items")
+            sums = points.join(lit, F.lit(True)).groupBy("c").agg(F.sum(F.when(covered, density)).alias("inside"), F.sum(F.when(~covered, density)).alias("outside"))
+        out = lines.join(sums.select(F.col("c").alias("items"), "inside", "outside"), "items", "left")
         return out.withColumn("likelihood_sg", F.try_divide("inside", "n")).withColumn("likelihood_complement", F.try_divide(F.col("outside"), F.lit(p.constants.n) - F.col("n"))).drop("inside", "outside")
 
 

@@ -8,7 +8,6 @@ DataFrames, one job per level or batch of parents.
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -124,14 +123,9 @@ class _Run:
         zero = self.lattice.p.task.df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("p"))
         if not zero.select(self.p.holds()).first()[0]:
             return
-        known = {s.items for s in self.top.entries}
-        full = {tuple(r[0]) for r in self.lattice.all_statistics(depth).select("items").orderBy(F.size("items"), "items").collect()} if self.p.task.constraints else known
-        n = len(self.p.selectors)
-        for items in itertools.chain.from_iterable(itertools.combinations(range(n), d) for d in range(1, depth + 1)):
-            if self.top.full:
-                return
-            if items not in known and items not in full:
-                self.top.offer([Scored(float(worth), items, float(worth), 0, 0)])
+        held = self.lattice.levels(depth).select(F.col("t").alias("items")).distinct()
+        free = self.lattice.candidates(depth).join(held, "items", "left_anti").orderBy(F.size("items"), "items").limit(task.k).collect()
+        self.top.offer([Scored(float(worth), tuple(r[0]), float(worth), 0, 0) for r in free])
 
     def finish(self, note: str) -> Results:
         try:
@@ -281,8 +275,12 @@ def generalizing_bfs(task: Task) -> Results:
     return exhaustive(task, "disjunction")
 
 
-def beam_search(task: Task, width: int = 20) -> Results:
-    """The `width` best so far, extended by every selector, as often as the depth allows; not exact."""
+def beam_search(task: Task, width: int = 20, adaptive: bool = False) -> Results:
+    """The `width` best so far, extended by every selector, as often as the depth allows; not exact.
+
+    An adaptive beam is as wide as the result is long, whatever `width` says.
+    """
+    width = task.k if adaptive else width
     if width < 1 or width < task.k:
         raise ValidationError("the width must be at least k")
     if task.measure.whole:

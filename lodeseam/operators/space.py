@@ -11,19 +11,27 @@ from pyspark.sql import types as T
 
 from lodeseam.errors import SearchSpaceError, ValidationError
 from lodeseam.functions.selectors import Interval, IsNull, Selector, equality, kind_of, negated
+from lodeseam.operators.stats import bucket_of
 from lodeseam.sources.table import RID
 
 
+#: Ranges of distinct values that are counted apart.
+RANGES = 128
+#: A text column of (about) more different values makes no selectors but an error; name such columns in `ignore`.
+MOST_VALUES = 100_000
 
 
-def nominal_selectors(df: DataFrame, ignore: Iterable[str] = ()) -> list[Selector]:
+def nominal_selectors(df: DataFrame, ignore: Iterable[str] = (), most_values: int = MOST_VALUES) -> list[Selector]:
     """One equality per distinct value of every column that is not numeric, by first appearance.
 
-    Missing values make IsNull at the place of the first one. One job covers all columns.
+    Missing values make IsNull at the place of the first one. One job counts, one covers all columns.
     """
     names = [c for c in df.columns if c not in {*ignore, RID} and kind_of(df.schema, c) != "numeric"]
     if not names:
         return []
+    about = df.agg(*[F.approx_count_distinct(f"`{c}`") for c in names]).first()
+    if many := [c for c, n in zip(names, about, strict=True) if n > most_values]:
+        raise SearchSpaceError(f"more than {most_values} values in {', '.join(many)}")
     place = F.min(RID) if RID in df.columns else F.lit(0)
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(names)])).alias("s")
     rows = df.select(*([RID] if RID in df.columns else []), pairs).groupBy("s.i", "s.v").agg(place.alias("first")).orderBy("i", "first", "v").collect()  # distinct values only
@@ -35,12 +43,23 @@ def nominal_selectors(df: DataFrame, ignore: Iterable[str] = ()) -> list[Selecto
 
 
 def equal_frequency_cutpoints(df: DataFrame, attribute: str, bins: int) -> list[float]:
-    """The value at every i/bins-th of the sorted present values, walking past values already chosen."""
+    """The value at every i/bins-th of the sorted present values, walking past values already chosen.
+
+    Ranges of the distinct values are counted first; only those that hold a place are sorted, each in its task.
+    """
     v = df.where(F.col(attribute).isNotNull()).groupBy(F.col(attribute).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v"))
-    counted = v.select("v", upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    places = F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("i")
-    hit = counted.select("v", "upto", places, "total").where(F.col("upto") > F.floor(F.col("i") * F.col("total") / bins))
+    edges = sorted(set(v.approxQuantile("v", [i / RANGES for i in range(1, RANGES)], 0.005)))
+    ranged = v.withColumn("range", bucket_of(F.col("v"), edges))
+    totals = ranged.groupBy("range").agg(F.sum("n")).orderBy("range").collect()  # RANGES rows
+    total, before, wanted = sum(r[1] for r in totals), 0, []
+    for r in totals:
+        wanted += [(r[0], i, i * total // bins - before) for i in range(1, bins) if before <= i * total // bins < before + r[1]]
+        before += r[1]
+    if not wanted:
+        return []
+    places = df.sparkSession.createDataFrame(wanted, "range int, i int, place long")
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("v"))
+    hit = ranged.where(F.col("range").isin(sorted({w[0] for w in wanted}))).select("range", "v", upto.alias("upto")).join(F.broadcast(places), "range").where("upto > place")
     firsts = [r[1] for r in hit.groupBy("i").agg(F.min("v").alias("v")).orderBy("i").collect()]  # bins - 1 rows
     cuts: list[float] = []
     for first in firsts:

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseam.functions.scalars import normal_density
@@ -71,19 +72,49 @@ def merged(measures: dict[str, tuple[Column, str]]) -> list[Column]:
     return [(F.max(name) if how == "max" else F.sum(name)).alias(name) for name, (_, how) in measures.items()]
 
 
-def value_measures(plan: Plan) -> list[Column]:
-    """Aggregates over the values `_t` of a cover that cannot be merged from parts."""
+def bucket_of(value: Column, edges: list[float]) -> Column:
+    """How many of the ascending `edges` a value reaches."""
+    return reduce(lambda a, e: a + (value >= F.lit(e)).cast("int"), edges, F.lit(0))
+
+
+def from_values(counted: DataFrame, measures: dict[str, tuple[Column, str]], plan: Plan, edges: list[float]) -> DataFrame:
+    """(items, measures..., median, ordered bounds) from the measures of every (items, _t).
+
+    Values are ranked from the plan's better end. With `edges`, range by range: the ranges' totals carry ranks
+    and sums into each range, so a task holds one range of one cover; without, a task sorts a cover. Equal
+    values are one row. Between the first and the last of w equal values the ordered bound has at most one
+    peak, which is tried too.
+    """
+    sign = F.lit(plan.sign)
+    ranked = _ranked_by_range(counted, sign, edges) if edges else _ranked(counted, sign)
+    last, first, value = F.col("_upto").cast("double"), (F.col("_upto") - F.col("n") + 1).cast("double"), sign * F.col("_t")
     out = []
     if plan.median:
-        out.append(F.median("_t").alias("median"))
+        at = lambda place: F.max(F.when((place >= F.col("_upto") - F.col("n")) & (place < F.col("_upto")), F.col("_t")))
+        out.append((0.5 * at(F.floor((F.col("_all") - 1) / 2)) + 0.5 * at(F.floor(F.col("_all") / 2))).alias("median"))
     for a in sorted(plan.orders):
-        ranked = F.reverse(F.array_sort(F.collect_list(F.lit(float(plan.sign)) * F.col("_t"))))
-        start = F.struct(F.lit(0.0).alias("run"), F.lit(0.0).alias("j"), F.lit(None).cast("double").alias("best"))
-        bound = lambda run, j: F.pow(j, F.lit(a)) * (run / j - F.lit(plan.sign * plan.centre))  # noqa: B023, E731
-        step = lambda acc, x: F.struct((acc["run"] + x).alias("run"), (acc["j"] + 1).alias("j"), F.greatest(acc["best"], bound(acc["run"] + x, acc["j"] + 1)).alias("best"))  # noqa: B023, E731
-        out.append(F.aggregate(ranked, start, step, lambda acc: acc["best"]).alias(order_name(a)))
-    return out
-
+        bound = lambda j: F.pow(j, F.lit(a)) * ((F.col("_runs") - value * (last - j)) / j - F.lit(plan.sign * plan.centre))  # noqa: B023, E731
+        peak = F.coalesce(F.try_divide((1 - a) * (F.col("_runs") - value * last), a * (value - F.lit(plan.sign * plan.centre))), last)
+        within = lambda j: F.least(last, F.greatest(first, j.cast("double")))
+        out.append(F.max(F.greatest(*[bound(j) for j in (first, last, within(F.floor(peak)), within(F.ceil(peak)))])).alias(order_name(a)))
+    return ranked.groupBy("items").agg(*merged(measures), *out)
+
+
+def _ranked(counted: DataFrame, sign: Column) -> DataFrame:
+    """`counted` with rank and sum up to each value, and the size of the cover."""
+    upto = Window.partitionBy("items").orderBy(F.desc(sign * F.col("_t"))).rowsBetween(Window.unboundedPreceding, 0)
+    return counted.withColumns({"_upto": F.sum("n").over(upto), "_runs": sign * F.sum("total").over(upto).cast("double"), "_all": F.sum("n").over(Window.partitionBy("items"))})
+
+
+def _ranked_by_range(counted: DataFrame, sign: Column, edges: list[float]) -> DataFrame:
+    """The same, sorted within ranges only."""
+    ranged = counted.withColumn("_range", sign * bucket_of(F.col("_t"), edges))
+    before = Window.partitionBy("items").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("items", "_range").agg(F.sum("n").alias("_n"), F.sum("total").alias("_sum"))
+    carried = totals.select("items", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rank"), F.sum("_sum").over(before).alias("_run"), F.sum("_n").over(Window.partitionBy("items")).alias("_all"))
+    inside = Window.partitionBy("items", "_range").orderBy(F.desc(sign * F.col("_t"))).rowsBetween(Window.unboundedPreceding, 0)
+    upto, run = F.col("_rank") + F.sum("n").over(inside), sign * (F.coalesce(F.col("_run"), F.lit(0)) + F.sum("total").over(inside)).cast("double")
+    return ranged.join(carried, ["items", "_range"]).withColumns({"_upto": upto, "_runs": run})
 
 def slope(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> Column:
     spread = n * sxx - sx * sx

@@ -133,6 +133,24 @@ def test_combinations_of_different_powers_lose_nothing(spark, engine, powers):
     assert [(e.quality, e.description) for e in engine(task).entries] == [(e.quality, e.description) for e in S.exhaustive(task).entries]
 
 
+@pytest.mark.parametrize("m", [M.StandardNumeric(1.5, True, "order"), M.StandardMedian(1.0)])
+def test_values_ranked_in_ranges_give_the_same(spark, monkeypatch, m):
+    from lodeseam.operators import lattice
+
+    rng = random.Random(11)
+    df = from_columns(spark, {"a": [rng.choice("xyz") for _ in range(120)], "b": [rng.choice("uv") for _ in range(120)], "t": [float(rng.randrange(30)) for _ in range(120)]})
+    task = Task(df, Numeric("t"), space.nominal_selectors(df), m, 12, 2)
+    figures = lambda: [(e.quality, e.estimate, e.description) for e in S.exhaustive(task).entries]
+    at_once = figures()
+    monkeypatch.setattr(lattice, "RANKED_AT_ONCE", 0)
+    assert [e[0::2] for e in figures()] == [e[0::2] for e in at_once] and [e[1] for e in figures()] == pytest.approx([e[1] for e in at_once])
+    if isinstance(m, M.StandardNumeric):
+        rows, mean = list(to_rows(df)), df.agg({"t": "avg"}).first()[0]
+        for _, estimate, d in at_once:
+            own = sorted((r["t"] for r in rows if all(brute.holds(s, r) for s in d.selectors)))
+            assert estimate == pytest.approx(max(j**1.5 * (mean - sum(own[:j]) / j) for j in range(1, len(own) + 1)))
+
+
 @pytest.fixture(scope="module")
 def stress(spark):
     df = synth.na_stress(spark, 160, 5).cache()
