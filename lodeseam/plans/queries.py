@@ -122,12 +122,20 @@ add("search_area_itemsets", "part", "SELECT * FROM part", Itemsets(), PARTS, M.A
 add("search_beam", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), None, engine="beam", depth=3, width=20)
 _order = "quality DESC, depth, a, b NULLS FIRST, c NULLS FIRST"
 _sub = lambda x, y: f"EXISTS (SELECT 1 FROM beam2 WHERE beam2.a = s.{x} AND beam2.b = s.{y})"
-ORACLE["search_beam"] = (
-    sql.lattice(LINEITEM, LINES, fill(COUNTS, R_IS), 3, fill(SHARES, R_IS)) + f", s AS (SELECT *, {WRACC} AS quality FROM stats, whole), beam1 AS (SELECT * FROM s WHERE depth = 1 ORDER BY {_order} LIMIT 20), "
-    f"beam2 AS (SELECT * FROM (SELECT * FROM beam1 UNION ALL SELECT * FROM s WHERE depth = 2 AND (a IN (SELECT a FROM beam1) OR b IN (SELECT a FROM beam1))) ORDER BY {_order} LIMIT 20), "
-    f"beam3 AS (SELECT * FROM (SELECT * FROM beam2 UNION ALL SELECT * FROM s WHERE depth = 3 AND ({_sub('a', 'b')} OR {_sub('a', 'c')} OR {_sub('b', 'c')})) ORDER BY {_order} LIMIT 10) "
-    f"SELECT CAST(row_number() OVER (ORDER BY {_order}) AS INTEGER) AS rank, key, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS size, round(quality, 9) AS quality FROM beam3"
-)
+
+def beam_sql(width: int) -> str:
+    """Three rounds of a beam over at most three selectors, its first ten."""
+    return (
+        sql.lattice(LINEITEM, LINES, fill(COUNTS, R_IS), 3, fill(SHARES, R_IS)) + f", s AS (SELECT *, {WRACC} AS quality FROM stats, whole), beam1 AS (SELECT * FROM s WHERE depth = 1 ORDER BY {_order} LIMIT {width}), "
+        f"beam2 AS (SELECT * FROM (SELECT * FROM beam1 UNION ALL SELECT * FROM s WHERE depth = 2 AND (a IN (SELECT a FROM beam1) OR b IN (SELECT a FROM beam1))) ORDER BY {_order} LIMIT {width}), "
+        f"beam3 AS (SELECT * FROM (SELECT * FROM beam2 UNION ALL SELECT * FROM s WHERE depth = 3 AND ({_sub('a', 'b')} OR {_sub('a', 'c')} OR {_sub('b', 'c')})) ORDER BY {_order} LIMIT 10) "
+        f"SELECT CAST(row_number() OVER (ORDER BY {_order}) AS INTEGER) AS rank, key, CAST(depth AS INTEGER) AS depth, CAST(n AS BIGINT) AS size, round(quality, 9) AS quality FROM beam3"
+    )
+
+
+ORACLE["search_beam"] = beam_sql(20)
+add("search_beam_adaptive", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), None, engine="beam", depth=3, adaptive=True)
+ORACLE["search_beam_adaptive"] = beam_sql(10)
 add("search_beam_wide", "lineitem", LINEITEM, RETURNED, LINES, M.wracc(), WRACC, R_IS, engine="beam", width=500)
 
 EXACT = {"total": "sum(o_totalprice::DECIMAL(38,6))"}
