@@ -2,11 +2,13 @@
 
 A frame is a baseline grey JPEG. Bytes are stored without loss as quantised coefficients: the 8 magnitude
 bits of a category-8 coefficient hold any byte, every quantiser is 1, and each block restarts prediction.
-Frames written elsewhere (any baseline grey Huffman JPEG) are decoded by the general path.
+All frames, our own and any other baseline grey Huffman JPEG, go through one table-driven entropy decoder,
+which reads a symbol of every restart interval of many frames at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from dataclasses import dataclass
 
@@ -16,6 +18,8 @@ BLOCK = 64
 FRAME_BLOCKS = 64
 FPS = 25
 BINS = 16
+#: Frames are decoded together up to about this many blocks.
+BLOCKS_AT_ONCE = 1 << 13
 #: A cut needs this many times the mean of the last differences in its shot, and this share of the pixels.
 TIMES_MEAN, LEAST_SHARE, MEMORY = 2, 8, 8
 
@@ -187,88 +191,138 @@ def _codes(body: bytes) -> dict[tuple[int, int], int]:
     return out
 
 
-def decode(jpeg: bytes) -> Frame:
-    """Entropy-decode a baseline grey JPEG."""
+@functools.lru_cache(64)
+def _lookup(dc: bytes, ac: bytes) -> np.ndarray:
+    """symbol << 8 | code length by the next 16 bits, of the first table and then of the second; 0 is no code."""
+    out = np.zeros((2, 1 << 16), np.int64)
+    for row, body in zip(out, (dc, ac), strict=True):
+        for (n, code), symbol in _codes(body).items():
+            row[code << 16 - n : code + 1 << 16 - n] = symbol << 8 | n
+    return out.ravel()
+
+
+@dataclass(frozen=True)
+class Scan:
+    """What a JPEG's headers say of its one scan, and the scan's bytes."""
+
+    data: bytes
+    blocks: int
+    restart: int
+    tables: tuple[bytes, bytes]
+    width: int
+    height: int
+    quantiser: np.ndarray
+
+
+def scan_of(jpeg: bytes) -> Scan:
+    """Read the headers of a baseline grey JPEG; ValueError if it is none."""
     at, tables, quantisers, restart, size, used = 2, {}, {}, 0, None, (0, 0, 0)
-    while True:
-        marker, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
-        body = jpeg[at + 4 : at + 2 + n]
-        if marker == 0xDB:
-            while body:
-                wide = 64 * (1 + (body[0] >> 4))
-                quantisers[body[0] & 15] = np.frombuffer(body[1 : 1 + wide], np.uint8 if wide == 64 else ">u2").astype(np.int64)
-                body = body[1 + wide :]
-        elif marker == 0xC4:
-            while body:
-                used_up = 17 + sum(body[1:17])
-                tables[body[0]] = (_codes(body[:used_up]), body[:used_up])
-                body = body[used_up:]
-        elif marker == 0xC0:
-            precision, height, width, parts = struct.unpack_from(">BHHB", body)
-            if precision != 8 or parts != 1:
-                raise ValueError("only 8-bit grey frames")
-            size, used = (width, height), (0, 0, body[8])
-        elif 0xC1 <= marker <= 0xCF and marker != 0xCC:
-            raise ValueError("only baseline frames")
-        elif marker == 0xDD:
-            restart = struct.unpack(">H", body)[0]
-        at += 2 + n
-        if marker == 0xDA:
-            used = (body[2] >> 4, 0x10 | (body[2] & 15), used[2])
-            break
-    width, height = size
-    count = -(-width // 8) * -(-height // 8)
-    scan = jpeg[at : jpeg.rindex(b"\xff\xd9")]
-    one = [tables[t][1][1:] for t in used[:2]]
-    if restart == 1 and all(t == bytes([0] * 7 + [1] + [0] * 8 + [8]) for t in one) and len(scan) == count * 130 - 2:
-        cells = np.frombuffer(scan + b"\xff\xd0", np.uint8).reshape(count, 130)[:, :128]
-        if not (cells == 255).any():
-            v = cells[:, 1::2].astype(np.int64)
-            return Frame(np.where(v < 128, v - 255, v), width, height, quantisers[used[2]])
-    return Frame(_general(scan, count, restart, tables[used[0]][0], tables[used[1]][0]), width, height, quantisers[used[2]])
-
-
-def _general(scan: bytes, count: int, restart: int, dc: dict, ac: dict) -> np.ndarray:
-    """Coefficients of `count` blocks, bit by bit."""
-    parts, start, at = [], 0, 0
-    while at < len(scan) - 1:
-        if scan[at] == 0xFF and 0xD0 <= scan[at + 1] <= 0xD7:
-            parts.append(scan[start:at])
-            start = at = at + 2
-        else:
-            at += 2 if scan[at] == 0xFF else 1
-    parts.append(scan[start:])
-    out, done = np.zeros((count, 64), np.int64), 0
-    for part in parts:
-        bits = np.unpackbits(np.frombuffer(part.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist()
-        p, last = 0, 0
-
-        def symbol(table: dict, p: int) -> tuple[int, int]:
-            code = 0
-            for n in range(1, 17):
-                code = code << 1 | bits[p + n - 1]
-                if (n, code) in table:
-                    return table[(n, code)], p + n
-            raise ValueError("no such code")
-
-        def value(n: int, p: int) -> int:
-            v = int("".join(map(str, bits[p : p + n])), 2) if n else 0
-            return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-        for _ in range(min(restart or count, count - done)):
-            n, p = symbol(dc, p)
-            last += value(n, p)
-            out[done, 0], p, k = last, p + n, 1
-            while k < 64:
-                s, p = symbol(ac, p)
-                run, n = s >> 4, s & 15
-                if n == 0 and run != 15:
-                    break
-                k += run
-                if n:
-                    out[done, k] = value(n, p)
-                p, k = p + n, k + 1
-            done += 1
+    try:
+        while True:
+            if jpeg[at] != 0xFF:
+                raise ValueError("no marker where one must be")
+            marker, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
+            body = jpeg[at + 4 : at + 2 + n]
+            if marker == 0xDB:
+                while body:
+                    wide = 64 * (1 + (body[0] >> 4))
+                    quantisers[body[0] & 15] = np.frombuffer(body[1 : 1 + wide], np.uint8 if wide == 64 else ">u2").astype(np.int64)
+                    body = body[1 + wide :]
+            elif marker == 0xC4:
+                while body:
+                    used_up = 17 + sum(body[1:17])
+                    tables[body[0]] = body[:used_up]
+                    body = body[used_up:]
+            elif marker == 0xC0:
+                precision, height, width, parts = struct.unpack_from(">BHHB", body)
+                if precision != 8 or parts != 1:
+                    raise ValueError("only 8-bit grey frames")
+                size, used = (width, height), (0, 0, body[8])
+            elif 0xC1 <= marker <= 0xCF and marker != 0xCC:
+                raise ValueError("only baseline frames")
+            elif marker == 0xDD:
+                restart = struct.unpack(">H", body)[0]
+            at += 2 + n
+            if marker == 0xDA:
+                used = (body[2] >> 4, 0x10 | (body[2] & 15), used[2])
+                break
+        width, height = size
+        count = -(-width // 8) * -(-height // 8)
+        return Scan(jpeg[at : jpeg.rindex(b"\xff\xd9")], count, restart, (tables[used[0]], tables[used[1]]), width, height, quantisers[used[2]])
+    except (IndexError, KeyError, TypeError, struct.error) as e:
+        raise ValueError(f"not a whole baseline JPEG: {e!r}") from e
+
+
+def decode(jpegs: list[bytes]) -> list[Frame]:
+    """The frames of baseline grey JPEGs, in order; ValueError if one is none."""
+    scans, out, at = [scan_of(j) for j in jpegs], [], 0
+    while at < len(scans):
+        upto, blocks = at, 0
+        while upto < len(scans) and (upto == at or blocks + scans[upto].blocks <= BLOCKS_AT_ONCE and scans[upto].tables == scans[at].tables):
+            blocks += scans[upto].blocks
+            upto += 1
+        some = scans[at:upto]
+        ends = np.cumsum([s.blocks for s in some])
+        found = _coefficients(some)
+        out += [Frame(found[e - s.blocks : e], s.width, s.height, s.quantiser) for s, e in zip(some, ends.tolist(), strict=True)]
+        at = upto
+    return out
+
+
+def _segments(scans: list[Scan]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The scans' bytes without stuffing and markers, and first byte, end and number of blocks of each restart interval."""
+    data = np.frombuffer(b"".join(s.data + b"\xff\xd0" for s in scans), np.uint8)
+    high = np.flatnonzero(data[:-1] == 0xFF)
+    after = data[high + 1]
+    marks = high[(after >= 0xD0) & (after <= 0xD7)]
+    if len(marks) + int((after == 0).sum()) != len(high):
+        raise ValueError("a marker inside a scan")
+    keep = np.ones(len(data), bool)
+    keep[high + 1] = False
+    keep[marks] = False
+    ends = np.cumsum(keep)[marks]
+    blocks = [np.minimum(s.restart or s.blocks, s.blocks - np.arange(0, s.blocks, s.restart or s.blocks or 1)) for s in scans]
+    closes = np.cumsum([len(s.data) + 2 for s in scans]) - 2  # the mark put after each scan
+    if (np.searchsorted(marks, closes, side="right") != np.cumsum([len(b) for b in blocks])).any():
+        raise ValueError("not as many restart intervals as the size needs")
+    return data[keep], np.concatenate([[0], ends[:-1]]), ends, np.concatenate(blocks)
+
+
+def _coefficients(scans: list[Scan]) -> np.ndarray:
+    """Coefficients of all blocks of scans with the same tables, one symbol of every restart interval in each round."""
+    data, begins, ends, left = _segments(scans)
+    table = _lookup(*scans[0].tables)
+    raw = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    ahead = np.zeros(len(data) + 1, np.uint64)  # the five bytes from each on, highest first
+    for k in range(5):
+        ahead |= raw[k : k + len(ahead)] << np.uint64(56 - 8 * k)
+    out = np.zeros((int(left.sum()), 64), np.int32)
+    block, limit, p = np.cumsum(left) - left, 8 * ends, 8 * begins
+    k, last = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    while len(p):
+        bits = ahead[p >> 3] << (p & 7).astype(np.uint64)
+        code = table[(bits >> np.uint64(48)).astype(np.int64) + ((k > 0) << 16)]
+        n, symbol = code & 255, code >> 8
+        first = k == 0
+        size, run = symbol & 15, np.where(first, 0, symbol >> 4)
+        value = (bits << n.astype(np.uint64) >> np.uint64(48)).astype(np.int64) >> 16 - size
+        half = 1 << size >> 1
+        value = np.where(value < half, value - 2 * half + 1, value)
+        last = np.where(first, last + value, last)
+        p = p + n + size
+        k = k + run
+        stop = ~first & (size == 0) & (run != 15)
+        if not n.all() or (p > limit).any() or (k[~stop] > 63).any():
+            raise ValueError("no such code, or a block or scan that is too short")
+        put = np.flatnonzero(first | (size > 0))
+        out[block[put], k[put]] = np.where(first, last, value)[put]
+        k = np.where(stop, 64, k + 1)
+        done = k > 63
+        if done.any():
+            block, left, k = block + done, left - done, np.where(done, 0, k)
+            if not left.all():
+                more = left > 0
+                block, left, limit, p, k, last = (x[more] for x in (block, left, limit, p, k, last))
     return out
 
 

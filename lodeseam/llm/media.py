@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,28 +35,33 @@ def media_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per shot of every file: `id_col`, clip (from 0), first_frame, last_frame, start_ms, end_ms.
+    """One row per shot of every file: `id_col`, clip (from 0), first_frame, last_frame, start_ms, end_ms, error.
 
-    A null file has no clips; bytes that are no AVI file are an error.
+    A null file and one without frames have no clips. A file that cannot be read gives one row, whose clip is
+    null and whose error says why; for all others error is null.
     """
 
+    def timed(data: bytes) -> list[tuple]:
+        try:
+            video = avi.parse(data)
+            if not video.frames:
+                return []
+            found = avi.shots(avi.histograms(avi.decode(video.frames)))
+            return [(k, a, b, 1000 * a * video.scale // video.rate, 1000 * (b + 1) * video.scale // video.rate, None) for k, (a, b) in enumerate(found)]
+        except (ValueError, struct.error, ZeroDivisionError) as e:
+            return [(None,) * 5 + (str(e),)]
+
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            rows = []
-            for i, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if data is None:
-                    continue
-                video = avi.parse(data)
-                found = avi.shots(avi.histograms([avi.decode(f) for f in video.frames]))
-                rows += [(i, k, a, b, 1000 * a * video.scale // video.rate, 1000 * (b + 1) * video.scale // video.rate) for k, (a, b) in enumerate(found)]
+            rows = [(i, *r) for i, data in zip(*(c.to_pylist() for c in part.columns), strict=True) if data is not None for r in timed(data)]
             if rows:
-                ids, *rest = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), *(pa.array(c, pa.int64()) for c in rest)], [id_col, *names])
+                ids, *rest, errors = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(0).type), *(pa.array(c, pa.int64()) for c in rest), pa.array(errors, pa.string())], [id_col, *names, "error"])
 
     names = ("clip", "first_frame", "last_frame", "start_ms", "end_ms")
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names))
+    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", error string")
 
 
 def _feature(video: avi.Video, frames: list[avi.Frame]) -> str:
@@ -71,17 +78,19 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     machine or batch. Repeated rows are computed each for itself; an empty table gives no rows.
     """
 
-    def row(text: str) -> tuple:
-        size, media = len(text.encode("utf-8", "surrogatepass")), avi.write(payload(text))
-        video = avi.parse(media)
-        frames = [avi.decode(f) for f in video.frames]
-        back = avi.stored_bytes(video, frames)
-        return size, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), _feature(video, frames)
+    def rows(texts: list[str]) -> Iterator[tuple]:
+        files = [avi.write(payload(t)) for t in texts]
+        videos = [avi.parse(f) for f in files]
+        frames = iter(avi.decode([f for v in videos for f in v.frames]))
+        for text, media, video in zip(texts, files, videos, strict=True):
+            own = list(itertools.islice(frames, len(video.frames)))
+            back = avi.stored_bytes(video, own)
+            yield len(text.encode("utf-8", "surrogatepass")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), _feature(video, own)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            columns = zip(*map(row, part.column(1).to_pylist()), strict=True)
+            columns = zip(*rows(part.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [id_col, *names])
 
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
