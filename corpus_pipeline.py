@@ -6,7 +6,8 @@ quality     fits the ordinal classifier on the labelled documents it is given an
 near_dups   keeps one row of each n-gram Jaccard component, that with the least identifier;
 pii         replaces every confirmed span of personal data by its kind;
 mix         gives each source its target words: documents not taken go, others are repeated as often as
-            they are taken, the one at which a source's target is reached ends there;
+            they are taken, the one at which a source's target is reached ends there; the rows are written
+            in order of training position (file by file, ties by row and use);
 tokens      encodes the texts with SentencePiece and returns tokens instead of texts.
 
 A null text counts as empty: it passes `quality`, is nobody's near copy, holds nothing, and is not taken by
@@ -54,14 +55,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = keyed(docs)
-    taken = mixing.mix_sources(docs, "_row").where("taken > 0").groupBy("_row", "size", "taken").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    taken = mixing.mix_sources(docs, "_row").where("taken > 0").select("_row", "size", "taken", F.posexplode("positions").alias("_use", "_position"))
     rows = docs.repartition("_row").distinct().join(taken, "_row")
-    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
-    uses = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    used = rows.withColumn("_cut", F.explode(F.flatten(F.array_repeat(uses, F.col("_times")))))
-    words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_cut").cast("int"))
-    used = used.withColumn("text", F.when(F.col("_cut") == 0, F.col("text")).otherwise(F.array_join(words, "")))
-    return used.withColumn("n_chars", F.when(F.col("_cut") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    left = F.col("taken") - F.col("size") * F.col("_use")
+    words = F.slice(F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), left.cast("int"))
+    used = rows.withColumn("text", F.when(left >= F.col("size"), F.col("text")).otherwise(F.array_join(words, "")))
+    used = used.withColumn("n_chars", F.when(left >= F.col("size"), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return used.orderBy("_position", "_row", "_use").select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -137,3 +137,14 @@ def test_mix_with_shared_and_null_identifiers(spark):
         size[r.source] += len(r.text.split())
     want = filled({"a": sum(len(t.split()) for _, t in rows), "b": 40})
     assert all(abs(size[s] - want[s]) <= 1 for s in want)
+
+
+def test_mix_is_written_in_order_of_position(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{i}" for _ in range(int(rng.integers(1, 40)))), "en", ["a", "b", "c", None][int(rng.choice(4, p=[0.1, 0.6, 0.2, 0.1]))], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    uses = [(p, r._row.doc_id) for r in mixing.mix_sources(cp.keyed(docs), "_row").collect() for p in r.positions]
+    cp.mix_stage(spark, docs, "").write.parquet(f"{tmp_path}/mix")
+    parts = sorted(f for f in (tmp_path / "mix").iterdir() if f.suffix == ".parquet")
+    got = [i for f in parts for i in spark.read.parquet(str(f)).toPandas()["doc_id"]]
+    assert len(uses) > 300 and got == [i for _, i in sorted(uses)]
