@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import NumericType
 
-from lodeseam.llm.base import checkpointed, pieces, whole_text
+from lodeseam.llm.base import checkpointed, in_arrow, pieces, whole_text
 from lodeseam.llm.tokens import released, slices
 
 BUCKET_ROWS = 512
@@ -54,7 +54,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for part in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t) for t in part.column(1).to_pylist()], pa.string())], [id_col, "fingerprint"])
 
-    return df.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return in_arrow(df.select(id_col, whole_text(text_col).alias("_text")), run, f"`{id_col}` {kind}, fingerprint string")
 
 
 def _bucket(limits: list, of: Column) -> Column:
@@ -137,7 +137,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ("_id", to_arrow_type(df.schema[id_col].dataType)), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
         ("near_edited", pa.float64()), ("near_next", pa.float64()), ("_sha", pa.string()), ("_packed", pa.binary()),
     ])
-    made = dealt.mapInArrow(run, f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, _sha string, _packed binary")
+    made = in_arrow(dealt, run, f"_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, _sha string, _packed binary")
     grouped = made.where("_packed is not null").groupBy("fingerprint", "_sha", "_packed").agg(F.min("_id").alias("group_id"), F.count(F.lit(1)).alias("copies")).drop("_packed")
     one = made.where("_packed is null").drop("_sha", "_packed").withColumns({"group_id": F.col("_id"), "copies": F.lit(1).cast("long")})
     more = made.where("_packed is not null").drop("_packed").join(grouped, ["fingerprint", "_sha"]).select(*one.columns)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeseam.llm import avi
-from lodeseam.llm.base import whole_text
+from lodeseam.llm.base import in_arrow, whole_text
 from lodeseam.llm.tokens import released, slices
 
 
@@ -31,7 +31,7 @@ def media_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([avi.write(payload(t)) for t in part.column(1).to_pylist()], pa.binary())], [id_col, "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, media binary")
+    return in_arrow(df.select(id_col, whole_text(text_col).alias("_text")), run, f"`{id_col}` {kind}, media binary")
 
 
 def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -61,7 +61,7 @@ def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Da
 
     names = ("clip", "first_frame", "last_frame", "start_ms", "end_ms")
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, media_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", error string")
+    return in_arrow(df.select(id_col, media_col), run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n in names) + ", error string")
 
 
 def _feature(video: avi.Video, frames: list[avi.Frame]) -> str:
@@ -97,4 +97,4 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     kind = df.schema[id_col].dataType.simpleString()
     schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in zip(names, types, strict=True))
-    return df.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    return in_arrow(df.select(id_col, whole_text(text_col).alias("_text")), run, f"`{id_col}` {kind}, {schema}")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseam.llm.base import checkpointed, whole_text, written
+from lodeseam.llm.base import checkpointed, in_arrow, whole_text, written
 from lodeseam.llm.graph import components
 from lodeseam.llm.tokens import mixed, released, shingle_sets, slices
 
@@ -82,7 +82,7 @@ def nodes(docs: DataFrame) -> DataFrame:
             sizes, numbers = pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, numbers, pa.array([sketch(s) if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "one", "two", "n_shingles", "node", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, one long, two long, n_shingles long, node long, sketch binary")
+    return in_arrow(docs, run, f"doc_id {docs.schema[0].dataType.simpleString()}, one long, two long, n_shingles long, node long, sketch binary")
 
 
 def shingle_order(docs: DataFrame) -> np.ndarray:
@@ -112,9 +112,9 @@ def shingle_order(docs: DataFrame) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zstandard.compress(s.tobytes()) for s in sums.values()], pa.binary())], ["slice", "counts"])
 
-    once = docs.select("text").mapInArrow(count, "slice int, salt int, counts binary").repartition(TABLE_SLICES, "slice", "salt").drop("salt").mapInArrow(add, "slice int, counts binary")
+    once = in_arrow(in_arrow(docs.select("text"), count, "slice int, salt int, counts binary").repartition(TABLE_SLICES, "slice", "salt").drop("salt"), add, "slice int, counts binary")
     table = np.zeros(1 << BIN_BITS, np.int64)
-    for r in once.repartition(TABLE_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():  # TABLE_SLICES rows
+    for r in in_arrow(once.repartition(TABLE_SLICES, "slice"), add, "slice int, counts binary").collect():  # TABLE_SLICES rows
         table[r[0] * width : (r[0] + 1) * width] += np.frombuffer(zstandard.decompress(r[1]), np.int64)
     rank = np.empty(1 << BIN_BITS, np.uint32)
     rank[np.argsort(table, kind="stable")] = np.arange(1 << BIN_BITS, dtype=np.uint32)
@@ -145,7 +145,7 @@ def _incidence(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 prefix.append(key[: prefix_length(len(s))].view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], ["n", "node", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "n int, node long, prefix array<long>").select(F.explode("prefix").alias("shingle"), "node", "n")
+    return in_arrow(docs.select("text"), run, "n int, node long, prefix array<long>").select(F.explode("prefix").alias("shingle"), "node", "n")
 
 
 def sized(small: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     end = lambda x: sets.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = pairs.select("u", "v").join(end("u"), "u").join(end("v"), "v")
-    return both.select("u", "v", "n_u", "sketch_u", "n_v", "sketch_v").mapInArrow(run, "u long, v long")
+    return in_arrow(both.select("u", "v", "n_u", "sketch_u", "n_v", "sketch_v"), run, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFram
 
     def texts(ends: DataFrame) -> DataFrame:
         given = sized(checkpointed(ends.join(firsts, "node")))
-        return docs.join(given, ["one", "two"]).select("node", "text").mapInArrow(once, "node long, text string")
+        return in_arrow(docs.join(given, ["one", "two"]).select("node", "text"), once, "node long, text string")
 
     hot = checkpointed(pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / PAIRS_EACH).cast("int").alias("cuts")).where("cuts > 1"))
     dealt = pairs.join(sized(hot), "v", "left").select("u", "v", F.coalesce(F.pmod(F.xxhash64("u"), F.col("cuts")), F.lit(0)).cast("int").alias("cut"))
@@ -207,7 +207,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFram
     left = texts(dealt.select(F.col("u").alias("node")).distinct()).select(F.col("node").alias("u"), F.col("text").alias("u_text")).join(sized(dealt), "u")
     right = texts(dealt.select(F.col("v").alias("node")).distinct()).select(F.col("node").alias("v"), F.col("text").alias("v_text")).join(sized(hot), "v", "left")
     right = right.select("v", "v_text", F.explode(F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)).alias("cut"))
-    return left.join(right, ["v", "cut"]).select("u", "v", "v_text", "u_text").mapInArrow(run, "u long, v long")
+    return in_arrow(left.join(right, ["v", "cut"]).select("u", "v", "v_text", "u_text"), run, "u long, v long")
 
 
 def _short(n_u: np.ndarray, n_v: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodeseam.llm.base import checkpointed, unit_hash, whole_text
+from lodeseam.llm.base import checkpointed, in_arrow, unit_hash, whole_text
 from lodeseam.llm.tokens import SPACE, VALUE, mixed, noise, places, released, slices, utf8
 
 GRADES = 3
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, per_grade: int = SAMPLE_PER_GRADE,
             own = [np.unique(f).view(np.int64) for f in np.split(feature[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=part.num_rows))[:-1])]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "grade", "features"])
 
-    sample = checkpointed(texts.mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<long>"))
+    sample = checkpointed(in_arrow(texts, hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<long>"))
     sizes = {r[0]: r[1] for r in sample.groupBy("grade").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([-2.0, -1.0]), 0.0)
@@ -215,5 +215,5 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], [*kept, "expected_grade", "tail"])
 
     schema = StructType([*(df.schema[c] for c in kept), StructField("expected_grade", DoubleType()), StructField("tail", DoubleType())])
-    out = df.select(*kept, whole_text(text_col).alias("_quality_text")).mapInArrow(run, schema)
+    out = in_arrow(df.select(*kept, whole_text(text_col).alias("_quality_text")), run, schema)
     return out.withColumn("keep", F.col("tail") >= model.cut)

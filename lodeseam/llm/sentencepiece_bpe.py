@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodeseam.llm.base import whole_text
+from lodeseam.llm.base import in_arrow, whole_text
 from lodeseam.llm.tokens import released, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -245,7 +245,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array(tokens, pa.list_(pa.int32()))], [id_col, "n_tokens", "tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, tokens array<int>")
+    return in_arrow(df.select(id_col, whole_text(text_col).alias("_text")), run, f"`{id_col}` {kind}, n_tokens long, tokens array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", model: str = MODEL) -> DataFrame:
@@ -259,7 +259,7 @@ def decode(df: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", mo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, tokens_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return in_arrow(df.select(id_col, tokens_col), run, f"`{id_col}` {kind}, text string")
 
 
 def token_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
@@ -287,4 +287,4 @@ def token_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, whole_text(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, tokens_sha256 string, round_trip boolean, decoded_chars long")
+    return in_arrow(df.select(id_col, whole_text(text_col).alias("_text")), run, f"`{id_col}` {kind}, n_tokens long, tokens_sha256 string, round_trip boolean, decoded_chars long")
