@@ -44,10 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as a Parquet table: smaller, and read column by column. Deleted when Python ends."""
+    """Like checkpointed(), as a Parquet table: smaller, and read column by column. Deleted when Python ends.
+
+    The driver then collects its garbage, so that memory, broadcasts and shuffles of earlier steps are given back.
+    """
     spark = df.sparkSession
     path = fresh_folder(spark)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
